@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import packing, token_files
+from pantry.llm import packing, quality, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -31,9 +31,30 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder, shards).withColumnRenamed("key", "doc_id")
 
 
+def held_out(column: str, of: int, rest: int) -> Column:
+    """True where the crc32 of the id as text leaves this remainder."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % of == rest, F.lit(False))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, learn=~held_out("doc_id", 5, 0))
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model, share = quality.train(docs, labels, learn=~held_out("doc_id", 4, 2))
+    rows = quality.scored(docs, model, share)
+    return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
+    "op8_quality": op8_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
