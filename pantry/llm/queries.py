@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import packing, quality, token_files, toxicity
+from pantry.llm import fertility, packing, quality, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -50,11 +50,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fertility.judged(fertility.measured(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")))
+    return rows.select(F.col("key").alias("doc_id"), *fertility.BASE, "base_failed", "kept", "language", "script", *[F.round(m, 6).alias(m) for m in fertility.MEASURES])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
+    "op9_fertility": op9_fertility,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -18,6 +18,13 @@ from pantry.llm import text as T
 CACHE_UNITS = 1_500_000
 _encoders: dict[tuple[str, bool], "UnitEncoder"] = {}
 
+def piece_encoder(path: str) -> "PieceEncoder":
+    """The worker's encoder for a sentencepiece model."""
+    if (path, True) not in _encoders:
+        _encoders[path, True] = PieceEncoder(path)
+    return _encoders[path, True]
+
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PUNCT = np.zeros(256, bool)
@@ -65,9 +72,14 @@ class UnitEncoder:
         keep = ~white[at[:-1]] if len(at) > 1 else np.zeros(0, bool)
         return at[:-1][keep], at[1:][keep]
 
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.model.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _hashed(self, data: np.ndarray) -> np.ndarray:
+        return T.lower(data) if self.drop_white else data
+
     def _learn(self, units: list[bytes], hashes: np.ndarray) -> None:
-        made = self.model.encode_batch_fast([x.decode("utf-8") for x in units], add_special_tokens=False)
-        ids = [x.ids for x in made]
+        ids = self._ids([x.decode("utf-8", "replace") for x in units])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
         base, first = len(self.starts), len(self.flat)
@@ -87,7 +99,7 @@ class UnitEncoder:
             first = end = np.zeros(0, np.int64)
         if len(self.keys) > CACHE_UNITS:
             self.reset()
-        hashes = T.span_hashes(T.lower(data) if self.drop_white else data, first, end)
+        hashes = T.span_hashes(self._hashed(data), first, end)
         unique, place, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -107,3 +119,24 @@ class UnitEncoder:
         out = np.full(len(ids) + n, end_id, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ranges))] = ids
         return out, ended
+
+
+class PieceEncoder(UnitEncoder):
+    """A sentencepiece model with byte fallback; words (by ASCII white space) are encoded each for itself."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = self.model.vocab_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+        self.reset()
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return T.words(data, offsets)[:2]
+
+    def _ids(self, units: list[str]) -> list[list[int]]:
+        return self.model.encode(units, num_threads=1) if units else []
+
+    def _hashed(self, data: np.ndarray) -> np.ndarray:
+        return data
