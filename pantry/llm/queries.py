@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import fertility, packing, quality, token_files, toxicity
+from pantry.llm import fertility, language, packing, quality, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out("doc_id", 4, 2)))
+    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = packing.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return packing.pieces(stream, 4096).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -56,6 +62,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
