@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import chat, fertility, language, packing, quality, token_files, toxicity
+from pantry.llm import chat, fertility, language, ngram_join, packing, quality, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -35,6 +35,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns, names), names)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_join.linked(table(spark, sf_dir, "documents"), ngram_join.Rule(k=4, share=85, of=100))
+    return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = packing.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return packing.pieces(stream, 4096).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -72,6 +77,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_chat": op2_chat,
+    "op3_ngram_join": op3_ngram_join,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
