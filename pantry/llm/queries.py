@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import chat, fertility, language, ngram_join, packing, quality, token_files, toxicity
+from pantry.llm import chat, decontamination, fertility, language, ngram_join, packing, quality, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -74,6 +74,11 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), *fertility.BASE, "base_failed", "kept", "language", "script", *[F.round(m, 6).alias(m) for m in fertility.MEASURES])
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), F.round("similarity", 6).alias("similarity"), "start_word", "n_words", "distance", "n_windows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_chat": op2_chat,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_quality": op8_quality,
     "op9_fertility": op9_fertility,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
