@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pantry.llm import stats
 from pantry.llm import text as T
+from pantry.llm.shared import kept
 from pantry.llm.toxicity import labelled
 
 
@@ -66,17 +66,33 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, key: str = "doc_id", text: str = "text", **shrinkage: float) -> tuple[Model | None, float]:
-    """The model, and the share of label 1 among the texts learned from. All labelled rows count."""
-    known = labelled(labels, label, learn, key)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(known, "key").select("text", "y")
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, row): each text's statistics as doubles in a binary value, written once; texts go no further than this scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch):
+                x = stats.transformed(*T.view(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("key"), T.blobs(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["key", "row"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return kept(rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, row binary"), "statistics")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def train(measured: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, key: str = "doc_id", **shrinkage: float) -> tuple[Model | None, float]:
+    """measured: as ``statistics`` gives it. The model, and the share of label 1 among the texts learned from. All labelled rows count."""
+    rows = measured.join(labelled(labels, label, learn, key), "key").select("row", "y")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = len(stats.NAMES)
         count, total, outer = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
-            for part in T.slices(batch):
-                x, y = stats.transformed(*T.view(part.column("text"))), part.column("y").to_numpy()
+            if batch.num_rows:
+                x, y = _matrix(batch.column("row")), batch.column("y").to_numpy()
                 for c in (0, 1):
                     own = x[y == c]
                     count[c] += len(own)
@@ -93,16 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     return solve(moments, **shrinkage), float(n1 / (n0 + n1)) if n0 + n1 else 0.0
 
 
-def scored(docs: DataFrame, model: Model | None, share: float, text: str = "text", name: str = "score") -> DataFrame:
-    """The rows with one more column, the score."""
-    docs = docs.drop(name)
+def scored(measured: DataFrame, model: Model | None, share: float, name: str = "score") -> DataFrame:
+    """(key, score) of each row of ``statistics``."""
     if model is None:
-        return docs.withColumn(name, F.lit(float(share)))
+        return measured.select("key", F.lit(float(share)).alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, text):
-                values = score(model, stats.transformed(*T.view(part.column(text))))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], [*part.schema.names, name])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(score(model, _matrix(batch.column("row"))))], ["key", name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return measured.mapInArrow(run, f"key {measured.schema['key'].dataType.simpleString()}, {name} double")

@@ -64,8 +64,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model, share = quality.train(docs, labels, learn=~held_out("doc_id", 4, 2))
-    rows = quality.scored(docs, model, share)
+    measured = quality.statistics(docs)
+    model, share = quality.train(measured, labels, learn=~held_out("doc_id", 4, 2))
+    rows = quality.scored(measured, model, share).withColumnRenamed("key", "doc_id")
     return rows.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
