@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantry.llm import chat, decontamination, fertility, language, ngram_join, packing, quality, token_files, toxicity
+from pantry.llm import chat, decontamination, fertility, language, ngram_join, packing, quality, substring, token_files, toxicity
 from pantry.llm.shared import table
 
 
@@ -40,6 +40,11 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.repeated(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("key").alias("doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), F.col("partner").alias("source_doc_id"), F.col("there").alias("source_start_word"), (F.col("there_stop") - F.col("there")).alias("source_words"), F.round("similarity", 6).alias("similarity"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = packing.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
     return packing.pieces(stream, 4096).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_chat": op2_chat,
     "op3_ngram_join": op3_ngram_join,
+    "op4_substring": op4_substring,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
