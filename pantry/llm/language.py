@@ -29,6 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pantry.llm import grams
 from pantry.llm import text as T
+from pantry.llm.shared import fresh
 
 ORDERS, BITS = (1, 2, 3, 4), 16
 UNKNOWN = "und"
@@ -150,7 +151,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows with lang_pred and score."""
     docs = docs.drop("lang_pred", "score")
-    sent, lowered = docs.sparkSession.sparkContext.broadcast(model), "_lowered_text"
+    sent, lowered = docs.sparkSession.sparkContext.broadcast(model), fresh("_lowered_text", docs)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

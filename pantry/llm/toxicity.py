@@ -28,6 +28,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pantry.llm import grams
 from pantry.llm import text as T
+from pantry.llm.shared import fresh
 
 ORDERS, BITS = (3, 4, 5), 18
 
@@ -155,7 +156,7 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    lowered = "_lowered_text"
+    lowered = fresh("_lowered_text", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
