@@ -25,7 +25,7 @@ with p as (select lpad(cast(p_partkey as varchar), 13, '0') as barcode, p_partke
   ['en:' || split_part(p_name, ' ', 1)] as labels_tags, ['en:e' || cast(100 + p_size as varchar)] as additives_tags,
   nullif(substr('abcde', 1 + p_size % 6, 1), '') as nutriscore_grade, cast(nullif(p_partkey % 5, 0) as int) as nova_group,
   p_retailprice as price, p_size as size from part)"""
-SUMMARY = "barcode, product_name, brands, nutriscore_grade, nova_group, array_to_string(categories_tags, ', ') as categories"
+SUMMARY = "barcode, product_name, brands, nutriscore_grade, cast(nova_group as double) as nova_group, array_to_string(categories_tags, ', ') as categories"
 TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
 
@@ -39,7 +39,12 @@ def query(sql: str):
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    return search.summary(rows, H.SPEC).withColumn("categories", S.joined(F.col("categories_tags"))).drop("categories_tags")
+    return listed(search.summary(rows, H.SPEC))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """Tag lists as text; the group as a double, in which both engines hold missing numbers alike."""
+    return rows.withColumn("categories", S.joined(F.col("categories_tags"))).drop("categories_tags").withColumn("nova_group", F.col("nova_group").cast("double"))
 
 
 def key(n: int) -> str:
@@ -52,7 +57,7 @@ def key(n: int) -> str:
 @query(PART + f" select {SUMMARY}, price from p where barcode = '{key(42)}'")
 def lookup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookup.point(H.products(spark, sf_dir), LookupRequest(key(42)).barcode, "barcode")
-    return rows.select("barcode", "product_name", "brands", "nutriscore_grade", "nova_group", S.joined(F.col("categories_tags")).alias("categories"), "price")
+    return listed(rows.select("barcode", "product_name", "brands", "nutriscore_grade", "nova_group", "categories_tags", "price"))
 
 
 @query(PART + f" select barcode, product_name, nutriscore_grade from p where barcode = '{key(7)}'")
@@ -137,8 +142,7 @@ def facet_index_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.with_sort_keys(spark, sf_dir, H.products(spark, sf_dir))
     request = SearchRequest(labels_tag="en:small", sort_by="unique_scans_n", page=2)
-    page = search.page_of(rows, request, H.SPEC)
-    return page.withColumn("categories", S.joined(F.col("categories_tags"))).drop("categories_tags")
+    return listed(search.page_of(rows, request, H.SPEC))
 
 
 @query(PART + """ select count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as pages from p where list_contains(labels_tags, 'en:small')""")
@@ -201,10 +205,10 @@ KEYS = [key(11), "9999999999999", key(3), key(11), key(5)]
 _ASKED = "a(pos, barcode) as (values " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(KEYS)) + ")"
 
 
-@query(PART + f", {_ASKED} select cast(pos as bigint) as pos, a.barcode, p.barcode is not null as found, product_name, brands, nutriscore_grade, nova_group, price from a left join p using (barcode)")
+@query(PART + f", {_ASKED} select cast(pos as bigint) as pos, a.barcode, p.barcode is not null as found, product_name, brands, nutriscore_grade, cast(nova_group as double) as nova_group, price from a left join p using (barcode)")
 def compare_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = H.products(spark, sf_dir).select("barcode", "product_name", "brands", "nutriscore_grade", "nova_group", "price")
-    return compare.batch(rows.withColumnRenamed("barcode", "code"), KEYS)
+    return compare.batch(rows.withColumnRenamed("barcode", "code"), KEYS).withColumn("nova_group", F.col("nova_group").cast("double"))
 
 
 @query(PART + f", {_ASKED} select barcode from a where barcode not in (select barcode from p)")
