@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 from pantry.plans.errors import CatalogError
 from pantry.plans.schema import FACETS, GRADES, NOVA_GROUPS, PRODUCT_FIELDS, RESULT_WINDOW, SORT_KEYS
@@ -125,4 +125,4 @@ def given(request: object) -> dict:
     return {f.name: getattr(request, f.name) for f in fields(request) if getattr(request, f.name) != f.default}  # type: ignore[arg-type]
 
 
-__all__ = ["CompareRequest", "LookupRequest", "SearchRequest", "VocabularyRequest", "barcode", "field", "given", "stripped"]
+__all__ = ["CompareRequest", "LookupRequest", "SearchRequest", "VocabularyRequest", "barcode", "given", "stripped"]
