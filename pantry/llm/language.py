@@ -7,8 +7,7 @@ language with the largest sum wins; the score is its posterior after dividing th
 number of words, so that long texts do not all score 1.
 
 The model comes from a bounded sample: of each language the ``per_language`` texts with the smallest hash
-of their key. Words seen once are left to the n-grams; the table keeps the ``most_words`` most frequent
-ones, and n-grams are hashed to 2**16 columns, so the model's size is bounded whatever the corpus. At most
+of their key. Words seen once are left to the n-grams; of the others the most frequent ones are kept, and n-grams are hashed to 2**16 columns, so the model's size is bounded whatever the corpus. At most
 ``most_languages`` languages are learned, those with most texts.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0. Null languages are not learned from;
@@ -45,7 +44,7 @@ class Model:
     prior: np.ndarray
 
 
-def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], most_words: int = 200_000, smooth: float = 0.5) -> Model | None:
+def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], smooth: float = 0.5) -> Model | None:
     """counts: (language, word, times); shares: texts of each language."""
     languages = sorted(shares)
     if not languages or not counts:
@@ -67,8 +66,6 @@ def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], most_words:
         logs[k] = np.log((seen + smooth) / (seen.sum(0) + smooth * (1 << BITS))).astype(np.float32)
     times = table.sum(1)
     chosen = np.flatnonzero(times >= 2)
-    if len(chosen) > most_words:
-        chosen = np.sort(chosen[np.argsort(-times[chosen], kind="stable")[:most_words]])
     word_logs = np.log((table[chosen] + smooth) / (totals + smooth * len(hashes))).astype(np.float32)
     prior = np.log(np.array([shares[x] for x in languages]) / sum(shares.values()))
     return Model(languages, hashes[chosen], word_logs, known, logs, prior)
@@ -119,8 +116,8 @@ def predict(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, score, 0.0)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_languages: int = 256) -> Model | None:
-    """docs: the rows that may be learned from."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_languages: int = 256, most_counts: int = 150_000) -> Model | None:
+    """docs: the rows that may be learned from. The most_counts most frequent (language, word) pairs of the sample reach the driver."""
     rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("key"), F.col(language).alias("language"))
     shares = {r["language"]: r["count"] for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most_languages).collect()}
     if not shares:
@@ -145,7 +142,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
                 yield pa.RecordBatch.from_pydict({"language": names[key // max(len(place), 1)].tolist(), "word": word, "n": times.astype(np.int64)}, schema=pa.schema([("language", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     counted = texts.select("own", "text").mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    return fit([tuple(r) for r in counted.orderBy(F.desc("n"), "word", "language").limit(300_000).toLocalIterator()], shares)
+    return fit([tuple(r) for r in counted.orderBy(F.desc("n"), "word", "language").limit(most_counts).toLocalIterator()], shares)
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
