@@ -32,6 +32,7 @@ from pantry.llm.shared import kept
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+BROADCAST_GROUPS = 10_000  # bands of more groups are joined by a shuffle
 SLACK = {"chars_per_token": 0.15, "byte_share": 0.02, "token_entropy": 0.04}
 
 # Scripts by the first byte of a code point in UTF-8; bytes not named belong to none.
@@ -104,10 +105,12 @@ def judged(rows: DataFrame, least_words: int = 50, most_repeated: int = 50, reac
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     good = rows.where(~F.col("base_failed"))
-    fine = bands(good, reach, "script", "language").where(F.col("n_texts") >= least_texts)
-    rough = bands(good, reach, "script").where(F.col("n_texts") >= least_texts)
+    fine = kept(bands(good, reach, "script", "language").where(F.col("n_texts") >= least_texts), "bands")
+    rough = bands(good, reach, "script").where(F.col("n_texts") >= least_texts)  # a row a script
+    if fine.count() <= BROADCAST_GROUPS:
+        fine = F.broadcast(fine)
     renamed = [F.col(c).alias(f"s_{c}") if c != "script" else F.col(c) for c in rough.columns]
-    out = rows.join(fine.drop("n_texts"), ["script", "language"], "left").join(rough.select(*renamed), "script", "left")
+    out = rows.join(fine.drop("n_texts"), ["script", "language"], "left").join(F.broadcast(rough.select(*renamed)), "script", "left")
     outside = []
     for m in MEASURES:
         low, high = (F.coalesce(f"{m}_{e}", f"s_{m}_{e}") for e in ("low", "high"))
