@@ -28,6 +28,8 @@ def _count(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def lines(data: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lines that have a word, and the range of each text. Lines end at a line feed or the text's end."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     breaks = data == 10
