@@ -13,7 +13,11 @@
     them are aligned by longest common runs, and the ends go on over single differing words. An alignment
     whose two sides have a Jaccard similarity of five-word shingles under 0.8 is cut at its widest gap, and its parts
     are looked at again; parts of 50 words or more remain.
- 5. Overlapping passages of a document become one.
+ 5. Two partners need not be enough. A document stays open while a run of 50 words, of whose shingles two thirds
+    are in earlier documents at all (any longer passage has such a run), has SPARE shared shingles or more that
+    no passage found covers. Open documents are matched, occurrence by occurrence, with the first 8, 64, 512, ...
+    documents of each of their seeds, until they are closed or all earlier holders have been looked at.
+ 6. Overlapping passages of a document become one.
 A passage counts against the later document (the greater key); the earlier one is its source. Only documents
 with chains are read again, as word hashes.
 
@@ -24,7 +28,7 @@ document (its longest text). Other columns are ignored. Empty tables give no row
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -38,6 +42,10 @@ from pantry.llm.shared import fresh, kept
 
 K, WINDOW, GAP = 8, 12, 0.1
 LEAST_WORDS, SHARE, SHINGLE = 50, 0.8, 5
+RUN = LEAST_WORDS - SHINGLE + 1  # shingles of the shortest passage
+DENSE = 31  # with at most 30 shared shingles in each RUN of them, n >= RUN shingles have under SHARE * n shared
+SPARE = WINDOW + K - SHINGLE  # shingles of K + WINDOW - 1 words, the shortest stretch that is sure to hold a seed
+MORE = 8  # by so much the number of holders grows from round to round
 MARGIN = 64  # words beyond a chain's ends that an alignment may use
 
 
@@ -91,7 +99,7 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 def _matches(postings: DataFrame) -> DataFrame:
-    """(key, partner, at, there): an occurrence and the same seed in an earlier document."""
+    """(key, partner, at, there, seed): an occurrence and the same seed in an earlier document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -114,11 +122,42 @@ def _matches(postings: DataFrame) -> DataFrame:
             here = np.concatenate((rows, near))
             there = run_start[np.concatenate((first_run[own], before[run_of[near]]))]
             if len(here):
-                yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(key[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["key", "partner", "at", "there"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(key[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32)), pa.array(seed[here])], ["key", "partner", "at", "there", "seed"])
             last = len(run_start) - 1
             keep = run_start[sorted({int(first_run[last]), last} | ({last - 1} if last > first_run[last] else set()))]
             held = [x[keep] for x in (seed, key, at)]
 
+    return postings.repartition("seed").sortWithinPartitions("seed", "key", "at").mapInArrow(run, "key long, partner long, at int, there int, seed long")
+
+
+def _wider(postings: DataFrame, most: int) -> DataFrame:
+    """(key, partner, at, there): occurrences in open documents with all those in the first ``most`` earlier documents of the seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_held = len(held[0])
+            seed, key, at, is_open = (np.concatenate((h, batch.column(c).to_numpy().astype(np.int64))) for h, c in zip(held, ("seed", "key", "at", "open")))
+            new_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
+            new_run = new_seed | np.concatenate(([True], key[1:] != key[:-1]))
+            run_start, run_of = np.flatnonzero(new_run), np.cumsum(new_run) - 1
+            seed_of_run = np.cumsum(new_seed)[run_start]
+            first_run = np.searchsorted(seed_of_run, seed_of_run)
+            low, high = run_start[first_run], run_start[np.minimum(np.arange(len(run_start)), first_run + most)]
+            rows = np.flatnonzero(is_open)
+            rows = rows[rows >= n_held]
+            sizes = (high - low)[run_of[rows]]
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(sizes) // 200_000)) + 1):
+                n = sizes[part]
+                here = np.repeat(rows[part], n)
+                there = np.arange(len(here)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[run_of[rows[part]]], n)
+                if len(here):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(key[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["key", "partner", "at", "there"])
+            keep = np.concatenate((np.arange(low[-1], high[-1]), np.arange(run_start[-1], len(seed))))
+            held = [x[keep] for x in (seed, key, at, is_open)]
+
     return postings.repartition("seed").sortWithinPartitions("seed", "key", "at").mapInArrow(run, "key long, partner long, at int, there int")
 
 
@@ -314,6 +353,121 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double")
 
 
+def _by_key(points: DataFrame, found: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """of(key, starts, stops, at, seed) of each document's passages and points: places and a number each; starts and places ascend."""
+    spans = found.select("key", F.lit(0).alias("kind"), F.col("start").alias("at"), F.col("stop").alias("other"))
+    both = spans.unionByName(points.select("key", F.lit(1).alias("kind"), F.col("at").cast("long").alias("at"), F.col("seed").alias("other")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for batch in _with_end(batches):
+            new = [np.zeros(0, np.int64)] * 4 if batch is None else [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "kind", "at", "other")]
+            key, kind, at, other = columns = [np.concatenate(x) for x in zip(held, new)]
+            if not len(key):
+                continue
+            bounds = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), *([len(key)] if batch is None else [])]
+            for a, b in zip(bounds, bounds[1:]):
+                m = a + int(np.searchsorted(kind[a:b], 1))
+                if m < b and (rows := of(int(key[a]), at[a:m], np.maximum.accumulate(other[a:m]), at[m:b], other[m:b])) is not None:
+                    yield rows
+            held = [c[bounds[-1] :] for c in columns]
+
+    return both.repartition("key").sortWithinPartitions("key", "kind", "at").mapInArrow(run, schema)
+
+
+def _outside(starts: np.ndarray, stops: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Whether at .. at + width is in none of the spans."""
+    if not len(starts):
+        return np.ones(len(at), bool)
+    before = np.searchsorted(starts, at, "right") - 1
+    return (before < 0) | (stops[np.maximum(before, 0)] < at + width)
+
+
+def _uncovered(matches: DataFrame, found: DataFrame) -> DataFrame:
+    """(seed, key, at): shared occurrences outside the passages found."""
+
+    def of(key: int, starts: np.ndarray, stops: np.ndarray, at: np.ndarray, seed: np.ndarray) -> pa.RecordBatch | None:
+        out = _outside(starts, stops, at, K)
+        return pa.RecordBatch.from_arrays([pa.array(seed[out]), pa.array(np.full(int(out.sum()), key)), pa.array(at[out].astype(np.int32))], ["seed", "key", "at"]) if out.any() else None
+
+    return _by_key(matches, found, of, "seed long, key long, at int")
+
+
+def _shared(docs: DataFrame, holders: DataFrame, open_keys: DataFrame) -> DataFrame:
+    """(key, at, seed): places of the five-word shingles around the seeds of open documents that an earlier document has around one of them too."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, w, places in zip(batch.column("key").to_pylist(), batch.column("words"), batch.column("places")):
+                own = np.frombuffer(w.as_buffer(), np.uint32).astype(np.uint64)
+                if len(own) < LEAST_WORDS:
+                    continue
+                h = T.shingles(own, np.array([0, len(own)]), SHINGLE)[0].view(np.int64)
+                places, mark = np.array(places.as_py()), np.zeros(len(h) + 1, np.int64)
+                np.add.at(mark, np.clip(places - LEAST_WORDS, 0, len(h)), 1)
+                np.add.at(mark, np.clip(places + K + LEAST_WORDS, 0, len(h)), -1)
+                at = np.flatnonzero(np.cumsum(mark[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["h", "key", "at"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, None  # a shingle and the first document that has it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, key, at = (batch.column(c).to_numpy() for c in ("h", "key", "at"))
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            firsts = key[start].copy()
+            if last == h[0]:
+                firsts[0] = first
+            last, first = h[-1], firsts[-1]
+            rows = np.flatnonzero(key != np.repeat(firsts, np.diff(np.append(start, len(h)))))
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(at[rows]), pa.array(h[rows])], ["key", "at", "seed"])
+
+    places = holders.groupBy("key").agg(F.collect_list("at").alias("places"))
+    zones = _words_of(docs, holders).join(places, "key").select("key", "words", "places").mapInArrow(around, "h long, key long, at int")
+    rows = zones.repartition("h").sortWithinPartitions("h", "key").mapInArrow(later, "key long, at int, seed long")
+    return rows.join(open_keys, "key", "left_semi")
+
+
+def _still_open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Keys of documents in which a passage, or SPARE shingles of one, may yet be found."""
+
+    def of(key: int, starts: np.ndarray, stops: np.ndarray, at: np.ndarray, _: np.ndarray) -> pa.RecordBatch | None:
+        at = np.unique(at)
+        end = np.searchsorted(at, at + RUN)
+        left = np.concatenate(([0], np.cumsum(_outside(starts, stops, at, SHINGLE))))
+        wanted = (end - np.arange(len(at)) >= DENSE) & (left[end] - left[:-1] >= SPARE)
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64())], ["key"]) if wanted.any() else None
+
+    return _by_key(shared, found, of, "key long")
+
+
+def _beyond(docs: DataFrame, matches: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages found, and those with other partners than the two of each occurrence."""
+    loose = kept(_uncovered(matches, found), "loose")
+    if loose.isEmpty():
+        return found
+    holders = kept(_postings(docs).join(loose.select("seed").distinct(), "seed", "left_semi").select("key", "at"), "holders")
+    shared = kept(_shared(docs, holders, loose.select("key").distinct()), "shared")
+    left = kept(_still_open(shared, found), "open")
+    if left.isEmpty():
+        return found
+    wanted = matches.join(left, "key", "left_semi").select("seed").distinct()
+    postings = kept(_postings(docs).join(wanted, "seed", "left_semi"), "wanted")
+    largest = postings.groupBy("seed").count().agg(F.max("count")).first()[0]
+    most = MORE
+    while True:
+        marked = postings.join(left.withColumn("open", F.lit(1)), "key", "left").select("seed", "key", "at", F.coalesce("open", F.lit(0)).alias("open"))
+        chains = kept(_chains(_wider(marked, most)), "chains")
+        found = found.unionByName(kept(_aligned(docs, chains), "passages"))
+        if most >= largest:
+            return found
+        left = kept(_still_open(shared.join(left, "key", "left_semi"), found.join(left, "key", "left_semi")), "open")
+        if left.isEmpty():
+            return found
+        most *= MORE
+
+
 def _united(passages: DataFrame) -> DataFrame:
     """Overlapping passages of a document as one; the source is the earliest one of those that begin first."""
 
@@ -346,8 +500,9 @@ def _united(passages: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a passage that an earlier document has too: key, start, stop (words), partner, there, there_stop, similarity."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    chains = kept(_chains(_matches(_postings(rows))), "chains")
-    return _united(_aligned(rows, chains))
+    matches = kept(_matches(_postings(rows)), "matches")
+    chains = kept(_chains(matches), "chains")
+    return _united(_beyond(rows, matches, kept(_aligned(rows, chains), "passages")))
 
 
 def removed(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:

@@ -121,6 +121,18 @@ def test_substring_group_of_copies_and_removal(spark):
     assert all(cut[i]["text"] == prose(i, 40) + " \n" + prose(100 + i, 40) and cut[i]["n_chars"] == len(cut[i]["text"]) for i in range(1, 60))
 
 
+def test_substring_looks_beyond_first_and_last_partner(spark):
+    a = prose("base", 60).split()
+    places = [12, 17, 22, None, 27, 32, 37, 42, 47]  # where a word is changed; two variants are under 0.8 alike, each is 0.84 to the unchanged one
+    texts = [prose(200 + d, 40) + " " + " ".join("other" if i == place else w for i, w in enumerate(a)) + " " + prose(300 + d, 40) for d, place in enumerate(places)]
+    got = {r["key"]: (r["partner"], r["start"], r["stop"]) for r in substring.repeated(plain(spark, texts)).collect()}
+    assert got == {3: (0, 40, 100), **{d: (3, 40, 100) for d in range(4, 9)}}
+    line = prose("line", 20)  # a line that all have, and a passage that only the sixth and the last have
+    texts = [prose(400 + d, 60) + " " + line + " " + (prose("tail", 40) if d in (5, 11) else prose(500 + d, 40)) for d in range(12)]
+    got = {r["key"]: (r["partner"], r["start"], r["stop"]) for r in substring.repeated(plain(spark, texts)).collect()}
+    assert got == {11: (5, 60, 120)}
+
+
 def test_substring_odd_rows(spark):
     rows = substring.repeated(odd(spark)).collect()
     assert {(r["key"], r["partner"], r["start"], r["stop"]) for r in rows} == {(8, 7, 0, 80)}
