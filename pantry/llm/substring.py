@@ -3,9 +3,10 @@
  1. Seeds: of each K consecutive words (lower-cased A-Z) a 64-bit hash; of each WINDOW neighbouring hashes the
     least one is a seed. Two texts that share K + WINDOW - 1 words in a row share a seed there, so a passage of
     50 words at a similarity of 0.8 shares two at least. (Of a seed that recurs within WINDOW words, as in
-    periodic text, the first counts.)
+    periodic text, the first counts and then, from it on, the first in each WINDOW words.)
  2. Seeds are joined by hash. Each occurrence is matched with the first document that has the seed and with
-    the document just before its own, in order of keys: a passage that N documents share gives fewer than 2 N matches a
+    the document just before its own, in order of keys, the n-th
+    occurrence with its n-th (round and round if it has fewer) and with its first: a passage that N documents share gives fewer than 2 N matches a
     seed, and all its documents hang together. Sorted rows stream through; no group is held.
  3. The matches of a document with a partner are chained: in order in both, gaps cost GAP a word on either
     side. The best chain before a match is a prefix maximum in a Fenwick tree over the partner's places.
@@ -81,8 +82,12 @@ def seeds(hashes: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     whole |= (np.arange(n) == own[doc]) & (size[doc] < WINDOW)
     chosen = np.unique(best[whole])
     order = chosen[np.lexsort((chosen, mers[chosen], doc[chosen]))]
+    linked = np.zeros(len(order), bool)
+    linked[1:] = (mers[order][1:] == mers[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (np.diff(order) < WINDOW)
+    lead = order[np.maximum.accumulate(np.where(linked, 0, np.arange(len(order))))]
+    part = (order - lead) // WINDOW
     again = np.zeros(len(order), bool)
-    again[1:] = (mers[order][1:] == mers[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (np.diff(order) < WINDOW)
+    again[1:] = linked[1:] & (part[1:] == part[:-1])
     chosen = order[~again]
     return mers[chosen], doc[chosen], begin[chosen] - ranges[doc[chosen]]
 
@@ -120,11 +125,14 @@ def _matches(postings: DataFrame) -> DataFrame:
             own = run_of[rows]
             near = rows[before[own] != first_run[own]]
             here = np.concatenate((rows, near))
-            there = run_start[np.concatenate((first_run[own], before[run_of[near]]))]
+            other = np.concatenate((first_run[own], before[run_of[near]]))
+            turn = (here - run_start[run_of[here]]) % np.diff(np.append(run_start, len(seed)))[other]
+            here = np.concatenate((here, here[turn > 0]))
+            there = np.concatenate((run_start[other] + turn, run_start[other[turn > 0]]))
             if len(here):
                 yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(key[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32)), pa.array(seed[here])], ["key", "partner", "at", "there", "seed"])
             last = len(run_start) - 1
-            keep = run_start[sorted({int(first_run[last]), last} | ({last - 1} if last > first_run[last] else set()))]
+            keep = np.flatnonzero((run_of == first_run[last]) | (run_of >= max(last - 1, first_run[last])))
             held = [x[keep] for x in (seed, key, at)]
 
     return postings.repartition("seed").sortWithinPartitions("seed", "key", "at").mapInArrow(run, "key long, partner long, at int, there int, seed long")

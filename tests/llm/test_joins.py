@@ -133,6 +133,14 @@ def test_substring_looks_beyond_first_and_last_partner(spark):
     assert got == {11: (5, 60, 120)}
 
 
+def test_substring_periodic_passages(spark):
+    for period, times in ((1, 60), (6, 10), (6, 100), (11, 6), (12, 5), (13, 5)):
+        line = " ".join(prose(f"period{period}", period).split() * times)
+        texts = [prose(600 + d, 40 + d) + " " + line + " " + prose(700 + d, 40) for d in range(4)]
+        got = {r["key"]: (r["start"], r["stop"]) for r in substring.repeated(plain(spark, texts)).collect()}
+        assert got == {d: (40 + d, 40 + d + period * times) for d in (1, 2, 3)}, period
+
+
 def test_substring_odd_rows(spark):
     rows = substring.repeated(odd(spark)).collect()
     assert {(r["key"], r["partner"], r["start"], r["stop"]) for r in rows} == {(8, 7, 0, 80)}
