@@ -7,7 +7,9 @@ language with the largest sum wins; the score is its posterior after dividing th
 number of words, so that long texts do not all score 1.
 
 The model comes from a bounded sample: of each language the ``per_language`` texts with the smallest hash
-of their key. Words seen once are left to the n-grams; of the others the most frequent ones are kept, and n-grams are hashed to 2**16 columns, so the model's size is bounded whatever the corpus. At most
+of their key. All words of the sample are learned from: their n-grams are hashed to 2**16 columns and summed in
+the cluster, and of each word seen twice or more its hash and its counts by language reach the driver (words seen
+once are left to the n-grams). So the model's size is bounded by the sample's, whatever the corpus. At most
 ``most_languages`` languages are learned, those with most texts.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0. Null languages are not learned from;
@@ -28,7 +30,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pantry.llm import grams
 from pantry.llm import text as T
-from pantry.llm.shared import fresh
+from pantry.llm.shared import fresh, kept
 
 ORDERS, BITS = (1, 2, 3, 4), 16
 UNKNOWN = "und"
@@ -38,7 +40,10 @@ UNKNOWN = "und"
 class Model:
     languages: list[str]
     words: np.ndarray  # sorted hashes
-    word_logs: np.ndarray  # a row each, a column a language
+    starts: np.ndarray  # where the pairs of each word begin, and their end
+    owner: np.ndarray  # the language of each pair
+    word_logs: np.ndarray  # and its log frequency there
+    unseen: np.ndarray  # by language, that of a word which it does not have
     gram_known: dict[int, np.ndarray]
     gram_logs: dict[int, np.ndarray]  # by order: 2 ** BITS rows
     prior: np.ndarray
@@ -50,25 +55,49 @@ def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], smooth: floa
     if not languages or not counts:
         return None
     index = {x: i for i, x in enumerate(languages)}
-    names = sorted({w for _, w, _ in counts})
-    data, offsets = T.view(pa.array(names))
-    hashes, place, back = np.unique(T.span_hashes(data, offsets[:-1], offsets[1:]), return_index=True, return_inverse=True)
-    row = {w: i for w, i in zip(names, back.tolist())}
-    table = np.zeros((len(hashes), len(languages)), np.float64)
-    np.add.at(table, ([row[w] for _, w, _ in counts], [index[x] for x, _, _ in counts]), [n for _, _, n in counts])
-    totals = np.maximum(table.sum(0), 1)
+    words = pa.RecordBatch.from_pydict({"language": [x for x, _, _ in counts], "word": [w for _, w, _ in counts], "n": np.array([n for _, _, n in counts], np.int64)})
+    data, offsets = T.view(words.column("word"))
+    hashes, own = T.span_hashes(data, offsets[:-1], offsets[1:]), np.array([index[x] for x, _, _ in counts], np.int64)
+    times = words.column("n").to_numpy()
+    _, back = np.unique(hashes, return_inverse=True)
+    often = np.bincount(back, weights=times)[back] >= 2
+    gram = gram_counts(words)
+    gram_own = np.array([index[x] for x in gram.column("language").to_pylist()], np.int64)
+    return assembled(shares, int(back.max()) + 1, np.bincount(own, weights=times, minlength=len(languages)), (hashes[often], own[often], times[often]), (gram_own, gram.column("gram").to_numpy(), gram.column("n").to_numpy()), smooth)
+
+
+def gram_counts(words: pa.RecordBatch) -> pa.RecordBatch:
+    """(language, gram, n): how often each hashed n-gram (its order above its column) is in the words (language, word, n)."""
+    data, offsets = T.view(words.column("word"))
+    times = words.column("n").to_numpy()
+    names, owner = np.unique(np.array(words.column("language").to_pylist(), object).astype(str), return_inverse=True)
+    grams_of, counts_of = [], []
+    for k, (found, own) in zip(ORDERS, grams.ngrams(data, offsets[:-1], offsets[1:], ORDERS)):
+        which = np.repeat(np.arange(words.num_rows), np.diff(own))
+        grams_of.append((owner[which] << 20) | (k << BITS) | (found >> np.uint64(64 - BITS)).astype(np.int64))
+        counts_of.append(times[which])
+    gram, back = np.unique(np.concatenate(grams_of), return_inverse=True)
+    n = np.bincount(back, weights=np.concatenate(counts_of), minlength=len(gram)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(names[gram >> 20].tolist(), pa.string()), pa.array(gram & 0xFFFFF), pa.array(n)], ["language", "gram", "n"])
+
+
+def assembled(shares: dict[str, int], n_words: int, totals: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], gram: tuple[np.ndarray, np.ndarray, np.ndarray], smooth: float = 0.5) -> Model:
+    """pairs: (word hash, language, times) of words seen twice or more; gram: (language, gram, times); n_words and totals count all words."""
+    languages = sorted(shares)
+    totals = np.maximum(totals, 1)
+    order = np.lexsort((pairs[1], pairs[0]))
+    hashes, own, times = (x[order] for x in pairs)
+    words, starts = np.unique(hashes, return_index=True)
+    room = totals + smooth * n_words
     known, logs = {}, {}
-    for k, (found, own) in zip(ORDERS, grams.ngrams(data, offsets[place], offsets[place + 1], ORDERS)):
-        column = (found >> np.uint64(64 - BITS)).astype(np.int64)
-        which = np.repeat(np.arange(len(hashes)), np.diff(own))
-        seen = np.stack([np.bincount(column, weights=table[which, i], minlength=1 << BITS) for i in range(len(languages))], 1)
+    for k in ORDERS:
+        of = gram[1] >> BITS == k
+        seen = np.zeros((1 << BITS, len(languages)))
+        seen[gram[1][of] & ((1 << BITS) - 1), gram[0][of]] = gram[2][of]
         known[k] = seen.any(1)
         logs[k] = np.log((seen + smooth) / (seen.sum(0) + smooth * (1 << BITS))).astype(np.float32)
-    times = table.sum(1)
-    chosen = np.flatnonzero(times >= 2)
-    word_logs = np.log((table[chosen] + smooth) / (totals + smooth * len(hashes))).astype(np.float32)
     prior = np.log(np.array([shares[x] for x in languages]) / sum(shares.values()))
-    return Model(languages, hashes[chosen], word_logs, known, logs, prior)
+    return Model(languages, words, np.append(starts, len(hashes)), own.astype(np.int16), np.log((times + smooth) / room[own]).astype(np.float32), np.log(smooth / room).astype(np.float32), known, logs, prior)
 
 
 def word_scores(model: Model, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -76,7 +105,10 @@ def word_scores(model: Model, hashes: np.ndarray, data: np.ndarray, first: np.nd
     out = np.zeros((len(hashes), len(model.languages)), np.float64)
     at = np.minimum(np.searchsorted(model.words, hashes), max(len(model.words) - 1, 0))
     hit = model.words[at] == hashes if len(model.words) else np.zeros(len(hashes), bool)
-    out[hit] = model.word_logs[at[hit]]
+    out[hit] = model.unseen
+    n = model.starts[at[hit] + 1] - model.starts[at[hit]] if hit.any() else np.zeros(0, np.int64)
+    pair = np.repeat(model.starts[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    out[np.repeat(np.flatnonzero(hit), n), model.owner[pair]] = model.word_logs[pair]
     left = np.flatnonzero(~hit)
     for k in reversed(ORDERS):
         if not len(left):
@@ -116,8 +148,8 @@ def predict(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, score, 0.0)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_languages: int = 256, most_counts: int = 150_000) -> Model | None:
-    """docs: the rows that may be learned from. The most_counts most frequent (language, word) pairs of the sample reach the driver."""
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_languages: int = 256) -> Model | None:
+    """docs: the rows that may be learned from."""
     rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("key"), F.col(language).alias("language"))
     shares = {r["language"]: r["count"] for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most_languages).collect()}
     if not shares:
@@ -133,16 +165,28 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
             for part in T.slices(batch):
                 data, offsets = T.view(part.column("text"))
                 first, end, ranges = grams.letter_runs(data, offsets)
-                _, place, back = grams.distinct_words(data, first, end)
+                hashes, place, back = grams.distinct_words(data, first, end)
                 names, owner = np.unique(np.array(part.column("own").to_pylist(), object).astype(str), return_inverse=True)
                 of_word = np.repeat(owner, np.diff(ranges))
                 key, times = np.unique(of_word * max(len(place), 1) + back, return_counts=True)
                 raw = data.tobytes()
                 word = [raw[first[p] : end[p]].decode("utf-8", "replace") for p in place[key % max(len(place), 1)].tolist()]
-                yield pa.RecordBatch.from_pydict({"language": names[key // max(len(place), 1)].tolist(), "word": word, "n": times.astype(np.int64)}, schema=pa.schema([("language", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
+                yield pa.RecordBatch.from_pydict({"language": names[key // max(len(place), 1)].tolist(), "word": word, "h": hashes[key % max(len(place), 1)].view(np.int64), "n": times.astype(np.int64)}, schema=pa.schema([("language", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())]))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (gram_counts(batch) for batch in batches if batch.num_rows)
 
-    counted = texts.select("own", "text").mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    return fit([tuple(r) for r in counted.orderBy(F.desc("n"), "word", "language").limit(most_counts).toLocalIterator()], shares)
+    counted = kept(texts.select("own", "text").mapInArrow(count, "language string, word string, h long, n long").groupBy("language", "word", "h").agg(F.sum("n").alias("n")), "counted")
+    languages = sorted(shares)
+    index = {x: i for i, x in enumerate(languages)}
+    totals = {r["language"]: r["n"] for r in counted.groupBy("language").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return None
+    by_word = counted.groupBy("h").agg(F.sum("n").alias("times"))
+    pairs = counted.join(by_word.where("times >= 2"), "h", "left_semi").select("h", "language", "n").toArrow()
+    gram = counted.select("language", "word", "n").mapInArrow(sums, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+    own = [np.array([index[x] for x in t.column("language").to_pylist()], np.int64) for t in (pairs, gram)]
+    return assembled(shares, by_word.count(), np.array([totals.get(x, 0) for x in languages], np.float64), (pairs.column("h").to_numpy().view(np.uint64), own[0], pairs.column("n").to_numpy()), (own[1], gram.column("gram").to_numpy(), gram.column("n").to_numpy()))
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,15 @@ def test_language_odd_rows(spark):
     assert language.identified(empty(spark), model).count() == 0
 
 
+def test_language_learns_from_small_languages_too(spark):
+    rows = [(i, " ".join(f"{a}{b}{c}{d}" for a in "abcdefghijklmnopqrst"[i : i + 1] for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst" for d in "abcdefghijklmnopqrst") + " ", "en") for i in range(20)]
+    rows = [(i, text * 2, x) for i, text, x in rows] + [(100, "天地玄黃宇宙洪荒", "zh"), (101, "寒來暑往秋收冬藏", "zh")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(1, "天地玄黃宇宙洪荒"), (2, "bcde fghi"), (3, "秋收")], "doc_id long, text string")
+    assert len(model.words) == 160_000 and all(np.ptp(model.gram_logs[k][:, 1]) > 0 for k in language.ORDERS)
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identified(new, model).collect()} == {1: "zh", 2: "en", 3: "zh"}
+
+
 def test_language_backs_off():
     model = language.fit([("a", "kolorado", 5), ("b", "zypresse", 5)], {"a": 1, "b": 1})
     import pyarrow as pa
