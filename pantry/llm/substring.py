@@ -23,7 +23,7 @@ A passage counts against the later document (the greater key); the earlier one i
 with chains are read again, as word hashes.
 
 Nulls: a null or short text has no seeds; rows with a null key take no part. Rows with the same key are one
-document (its longest text). Other columns are ignored. Empty tables give no rows.
+document (its longest text, of equally long ones the greatest), and nothing is cut from their other texts. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -355,9 +355,8 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(names, zip(*out))], names)
 
-    longest = words  # rows with the same key: the longest text stands for all
-    mine = chains.join(longest, "key").select("key", "partner", "anchors", "words").mapInArrow(slice_out, "key long, partner long, anchors binary, low long, piece binary")
-    both = mine.join(longest.withColumnRenamed("key", "partner"), "partner").select("key", "partner", "anchors", "low", "piece", "words")
+    mine = chains.join(words, "key").select("key", "partner", "anchors", "words").mapInArrow(slice_out, "key long, partner long, anchors binary, low long, piece binary")
+    both = mine.join(words.withColumnRenamed("key", "partner"), "partner").select("key", "partner", "anchors", "low", "piece", "words")
     return both.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double")
 
 
@@ -505,9 +504,22 @@ def _united(passages: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double")
 
 
+def _chosen(rows: DataFrame) -> DataFrame:
+    """(key, text) of the keys that stand in several rows: the text that counts."""
+    several = rows.groupBy("key").count().where("count > 1").select("key")
+    best = rows.join(several, "key", "left_semi").groupBy("key").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("best"))
+    return kept(best.select("key", "best.text"), "chosen")
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row a passage that an earlier document has too: key, start, stop (words), partner, there, there_stop, similarity."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = _rows(docs, key, text)
+    if not (chosen := _chosen(rows)).isEmpty():
+        rows = rows.join(chosen.select("key"), "key", "left_anti").unionByName(chosen)
     matches = kept(_matches(_postings(rows)), "matches")
     chains = kept(_chains(matches), "chains")
     return _united(_beyond(rows, matches, kept(_aligned(rows, chains), "passages")))
@@ -518,6 +530,10 @@ def removed(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str
     own_key, own_spans = fresh("_key", docs), fresh("_spans", docs)
     spans = passages.groupBy(F.col("key").alias(own_key)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(own_spans))
     joined = docs.join(spans, F.col(key).cast("long") == F.col(own_key), "left").drop(own_key)
+    if not (chosen := _chosen(_rows(docs, key, text))).isEmpty():
+        other_key, own_text = fresh("_key", joined), fresh("_text", joined)
+        joined = joined.join(chosen.toDF(other_key, own_text), F.col(key).cast("long") == F.col(other_key), "left")
+        joined = joined.withColumn(own_spans, F.when(F.col(own_text).isNull() | (F.col(own_text) == F.col(text)), F.col(own_spans)))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,15 @@ def test_substring_periodic_passages(spark):
         assert got == {d: (40 + d, 40 + d + period * times) for d in (1, 2, 3)}, period
 
 
+def test_substring_repeated_keys_with_different_texts(spark):
+    a = prose("twice", 60)
+    rows = [(1, a), (2, prose(800, 90) + " " + a), (2, prose(801, 120)), (2, prose(801, 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passages = substring.repeated(docs)
+    assert [(r["key"], r["start"], r["stop"]) for r in passages.collect()] == [(2, 90, 150)]
+    assert sorted(r["text"] for r in substring.removed(docs, passages).collect()) == sorted([a, prose(800, 90) + " ", prose(801, 120), prose(801, 120)])
+
+
 def test_substring_odd_rows(spark):
     rows = substring.repeated(odd(spark)).collect()
     assert {(r["key"], r["partner"], r["start"], r["stop"]) for r in rows} == {(8, 7, 0, 80)}
