@@ -14,9 +14,9 @@ def place(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(BITS))
 
 
-def of(keys: DataFrame, key: str = "key") -> np.ndarray:
-    """The bitmap of all keys, put together in the cluster; 2 MB at any number of keys."""
-    bit = (place(key) + 1).alias("bit")  # the bitmap functions count from 1
+def of(keys: DataFrame, key: str = "key", hashed: bool = False) -> np.ndarray:
+    """The bitmap of all keys, put together in the cluster; 2 MB at any number of keys. hashed: the key's upper 24 bits are its place."""
+    bit = ((F.shiftrightunsigned(F.col(key), 40) if hashed else place(key)) + 1).alias("bit")  # the bitmap functions count from 1
     rows = keys.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows.collect():

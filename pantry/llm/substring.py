@@ -2,22 +2,25 @@
 
  1. Seeds: of each K consecutive words (lower-cased A-Z) a 64-bit hash; of each WINDOW neighbouring hashes the
     least one is a seed. Two texts that share K + WINDOW - 1 words in a row share a seed there, so a passage of
-    50 words at a similarity of 0.8 shares two at least. (Of a seed that recurs within WINDOW words, as in
+    50 words at a similarity of 0.8 has one at least. (Of a seed that recurs within WINDOW words, as in
     periodic text, the first counts and then, from it on, the first in each WINDOW words.)
- 2. Seeds are joined by hash. Each occurrence is matched with the first document that has the seed and with
-    the document just before its own, in order of keys, the n-th
-    occurrence with its n-th (round and round if it has fewer) and with its first: a passage that N documents share gives fewer than 2 N matches a
-    seed, and all its documents hang together. Sorted rows stream through; no group is held.
+ 2. Seeds are joined by hash. Each occurrence is first matched with the first document that has the seed and with
+    the document just before its own in order of keys, the n-th occurrence with its n-th (round and round if it has
+    fewer) and with its first: fewer than 2 N matches for a seed that N documents have. Sorted rows stream through.
  3. The matches of a document with a partner are chained: in order in both, gaps cost GAP a word on either
-    side. The best chain before a match is a prefix maximum in a Fenwick tree over the partner's places.
- 4. Chains of two seeds or more are aligned word by word: seeds grow as long as the words agree, gaps between
-    them are aligned by longest common runs, and the ends go on over single differing words. An alignment
-    whose two sides have a Jaccard similarity of five-word shingles under 0.8 is cut at its widest gap, and its parts
-    are looked at again; parts of 50 words or more remain.
- 5. Two partners need not be enough. A document stays open while a run of 50 words, of whose shingles two thirds
-    are in earlier documents at all (any longer passage has such a run), has SPARE shared shingles or more that
-    no passage found covers. Open documents are matched, occurrence by occurrence, with the first 8, 64, 512, ...
-    documents of each of their seeds, until they are closed or all earlier holders have been looked at.
+    side. The best chain before a match is a prefix maximum in a Fenwick tree over the partner's places. Chains are
+    cut at gaps of more than WIDE words. A chain of which four seeds in five lie in chains with earlier partners is left out.
+ 4. Chains are aligned word by word: seeds grow as long as the words agree, gaps between them are aligned by longest
+    common runs, and the ends go on over up to four differing words. An alignment whose two sides have a Jaccard
+    similarity of five-word shingles under 0.8 is cut at its widest gap, and its parts are looked at again; parts of
+    50 words or more remain.
+ 5. Shared seeds that no passage covers by then are compared with all their earlier holders, whatever their number. A
+    passage of 50 words at 0.8 has 24 equal words in a row at least (an edit costs five shingles or so, and one in nine may
+    be lost), so it has a seed with 16 equal words in a row to one side. Occurrences are dealt by these 16 words, each
+    with the CONTEXT words around it (a byte a word); equal contexts are one class, held by its first
+    occurrence. In a group each open class is compared with every earlier class by the number of words that agree over one
+    edit on either side, until one is found that reaches SURE words; the best from NEAR words on is chained and aligned as before.
+    A group is dealt out by salts, so that a task compares at most MOST open classes with it.
  6. Overlapping passages of a document become one.
 A passage counts against the later document (the greater key); the earlier one is its source. Only documents
 with chains are read again, as word hashes.
@@ -43,10 +46,11 @@ from pantry.llm.shared import fresh, kept
 
 K, WINDOW, GAP = 8, 12, 0.1
 LEAST_WORDS, SHARE, SHINGLE = 50, 0.8, 5
-RUN = LEAST_WORDS - SHINGLE + 1  # shingles of the shortest passage
-DENSE = 31  # with at most 30 shared shingles in each RUN of them, n >= RUN shingles have under SHARE * n shared
-SPARE = WINDOW + K - SHINGLE  # shingles of K + WINDOW - 1 words, the shortest stretch that is sure to hold a seed
-MORE = 8  # by so much the number of holders grows from round to round
+WIDE = 64  # words of a gap at which a chain is cut
+CONTEXT = 48  # words on either side of a seed that are compared
+EXACT = 24  # equal words in a row that every passage has
+NEAR, SURE = LEAST_WORDS - 4, 64  # agreeing words around a seed from which on a partner is aligned, and the search for a better one ends
+MOST = 4096
 MARGIN = 64  # words beyond a chain's ends that an alignment may use
 
 
@@ -138,39 +142,8 @@ def _matches(postings: DataFrame) -> DataFrame:
     return postings.repartition("seed").sortWithinPartitions("seed", "key", "at").mapInArrow(run, "key long, partner long, at int, there int, seed long")
 
 
-def _wider(postings: DataFrame, most: int) -> DataFrame:
-    """(key, partner, at, there): occurrences in open documents with all those in the first ``most`` earlier documents of the seed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_held = len(held[0])
-            seed, key, at, is_open = (np.concatenate((h, batch.column(c).to_numpy().astype(np.int64))) for h, c in zip(held, ("seed", "key", "at", "open")))
-            new_seed = np.concatenate(([True], seed[1:] != seed[:-1]))
-            new_run = new_seed | np.concatenate(([True], key[1:] != key[:-1]))
-            run_start, run_of = np.flatnonzero(new_run), np.cumsum(new_run) - 1
-            seed_of_run = np.cumsum(new_seed)[run_start]
-            first_run = np.searchsorted(seed_of_run, seed_of_run)
-            low, high = run_start[first_run], run_start[np.minimum(np.arange(len(run_start)), first_run + most)]
-            rows = np.flatnonzero(is_open)
-            rows = rows[rows >= n_held]
-            sizes = (high - low)[run_of[rows]]
-            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(sizes) // 200_000)) + 1):
-                n = sizes[part]
-                here = np.repeat(rows[part], n)
-                there = np.arange(len(here)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[run_of[rows[part]]], n)
-                if len(here):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(key[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["key", "partner", "at", "there"])
-            keep = np.concatenate((np.arange(low[-1], high[-1]), np.arange(run_start[-1], len(seed))))
-            held = [x[keep] for x in (seed, key, at, is_open)]
-
-    return postings.repartition("seed").sortWithinPartitions("seed", "key", "at").mapInArrow(run, "key long, partner long, at int, there int")
-
-
-def chain(at: list[int], there: list[int]) -> list[list[int]]:
-    """Chains (numbers of the matches, in order) of at least two matches, given the matches in order of ``at``, then ``there`` descending."""
+def chain(at: list[int], there: list[int], least: int = 2) -> list[list[int]]:
+    """Chains (numbers of the matches, in order) of at least ``least`` matches, given the matches in order of ``at``, then ``there`` descending."""
     places = sorted(set(there))
     tree: list[int] = [-1] * (len(places) + 1)  # the best match with a place in the node's range
     score, worth, parent = [0.0] * len(at), [0.0] * len(at), [-1] * len(at)
@@ -201,71 +174,102 @@ def chain(at: list[int], there: list[int]) -> list[list[int]]:
             used[i] = True
             members.append(i)
             i = parent[i]
-        if len(members) >= 2:
-            out.append(members[::-1])
+        members.reverse()
+        cuts = [n for n in range(1, len(members)) if max(at[members[n]] - at[members[n - 1]], there[members[n]] - there[members[n - 1]]) > K + WIDE]
+        out += [members[a:b] for a, b in zip([0, *cuts], [*cuts, len(members)]) if b - a >= least]
     return out
 
 
-def _chains(matches: DataFrame) -> DataFrame:
-    """(key, partner, anchors): a row a chain; anchors are its places in both, 32-bit, in turn."""
+def _chains(matches: DataFrame, least: int = 2) -> DataFrame:
+    """(key, partner, anchors): a row a chain; anchors are its places in both, 32-bit, in turn. A document's matches (some for each of its seeds) are held together."""
 
-    def of(key: int, partner: int, at: np.ndarray, there: np.ndarray, out: list) -> None:
-        order = np.lexsort((-there, at))
-        at, there = at[order], there[order]
-        for members in chain(at.tolist(), there.tolist()):
-            out.append((key, partner, np.stack((at[members], there[members]), 1).astype(np.int32).tobytes()))
+    def of(key: int, partner: np.ndarray, at: np.ndarray, there: np.ndarray, out: list) -> None:
+        made, edge = [], np.flatnonzero(partner[1:] != partner[:-1]) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(partner)]):
+            if b - a < least:
+                continue
+            pairs = np.unique(np.stack((at[a:b], -there[a:b]), 1), axis=0)
+            x, y = pairs[:, 0], -pairs[:, 1]
+            for members in chain(x.tolist(), y.tolist(), least):
+                made.append((-len(members), int(partner[a]), x[members], y[members]))
+        made.sort(key=lambda m: (m[1], m[0]))  # an earlier partner first
+        taken = np.zeros(int(at.max()) + K + 1, bool)
+        for n, other, x, y in made:
+            if 5 * int(taken[x].sum()) < 4 * -n:
+                taken[x[0] : x[-1] + K] = True
+                out.append((key, other, np.stack((x, y), 1).astype(np.int32).tobytes()))
 
     def flush(out: list) -> pa.RecordBatch:
         keys, partners, anchors = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(partners, pa.int64()), pa.array(anchors, pa.binary())], ["key", "partner", "anchors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        names, out = ("key", "partner", "at", "there"), []
-        for batch in _with_end(batches):
-            new = [np.zeros(0, np.int64)] * 4 if batch is None else [batch.column(c).to_numpy().astype(np.int64) for c in names]
-            columns = [np.concatenate(x) for x in zip(held, new)]
-            key, partner = columns[:2]
-            if not len(key):
-                continue
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (partner[1:] != partner[:-1])) + 1
-            bounds = [0, *edge.tolist(), *([len(key)] if batch is None else [])]
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a > 1:
-                    of(int(key[a]), int(partner[a]), columns[2][a:b], columns[3][a:b], out)
-            held = [c[bounds[-1] :] for c in columns]
+        for key, partner, at, there in _groups(batches, ("key", "partner", "at", "there")):
+            out: list = []
+            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
+                of(int(key[a]), partner[a:b], at[a:b], there[a:b], out)
             if out:
                 yield flush(out)
-                out = []
 
     return matches.repartition("key").sortWithinPartitions("key", "partner").mapInArrow(run, "key long, partner long, anchors binary")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns as 64-bit integers (binary ones as rows of bytes), cut only between different values of the first, by which they are sorted."""
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = [np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy().astype(np.int64) for c in (batch.column(n) for n in names)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if (np.diff(held[0]) >= 0).all() else int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
+            if cut:
+                yield [c[:cut] for c in held]
+                held = [c[cut:] for c in held]
+        elif held is not None:
+            yield held
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of the five-word shingles of two passages."""
-    x, y = (np.unique(T.shingles(v.astype(np.uint64), np.array([0, len(v)]), SHINGLE)[0]) for v in (a, b))
+    """Jaccard similarity of two lists of shingles."""
+    x, y = np.unique(a), np.unique(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
 
 
-def _grow(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> list[tuple[int, int, int]]:
-    """Runs of equal words from places i, j on, over up to four differing words in a row on a side if four equal ones follow."""
-    runs = []
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """The number of equal words at the beginning."""
+    n, step, at = min(len(a), len(b)), 32, 0
+    while at < n:
+        end = min(at + step, n)
+        other = a[at:end] != b[at:end]
+        if other.any():
+            return at + int(other.argmax())
+        at, step = end, 4 * step
+    return n
+
+
+_EDITS = ((1, 1), (1, 0), (0, 1), (2, 2), (3, 3), (2, 1), (1, 2), (2, 0), (0, 2), (4, 4))
+
+
+def _grow(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of equal words from the beginning on, over up to four differing words in a row on a side if four equal ones follow."""
+    runs, i, j = [], 0, 0
     while True:
-        n = 0
-        while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j]:
-            i, j, n = i + step, j + step, n + 1
+        n = _agree(a[i:], b[j:])
         if n:
-            runs.append((i - n, j - n, n) if step > 0 else (i + 1, j + 1, n))
-        for x, y in ((1, 1), (1, 0), (0, 1), (2, 2), (3, 3), (2, 1), (1, 2), (2, 0), (0, 2), (4, 4)):
-            p, q = i + step * x, j + step * y
-            ends = (p + 3 * step, q + 3 * step)
-            if min(p, q, *ends) >= 0 and max(p, ends[0]) < len(a) and max(q, ends[1]) < len(b) and all(a[p + step * t] == b[q + step * t] for t in range(4)):
+            runs.append((i, j, n))
+        i, j = i + n, j + n
+        for x, y in _EDITS:
+            p, q = i + x, j + y
+            if p + 4 <= len(a) and q + 4 <= len(b) and a[p] == b[q] and (a[p : p + 4] == b[q : q + 4]).all():
                 i, j = p, q
                 break
         else:
@@ -274,24 +278,23 @@ def _grow(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> list[tuple
 
 def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int, float]]:
     """Passages (first word and end in a, in b, similarity) of two word sequences that a chain of seeds connects."""
-    a_list, b_list = a.tolist(), b.tolist()
-    runs: list[tuple[int, int, int]] = []  # equal words: place in a, in b, number
     x, y = anchors[0]
-    runs += _grow(a_list, b_list, x - 1, y - 1, -1)[::-1]
+    runs = [(x - i - n, y - j - n, n) for i, j, n in _grow(a[:x][::-1], b[:y][::-1])][::-1]  # equal words: place in a, in b, number
     i, j = x, y
     for p, q in anchors:
         if p < i or q < j:  # within what has grown already, or out of step with it
             continue
         if p > i or q > j:
-            matcher = SequenceMatcher(None, a_list[i:p], b_list[j:q], autojunk=False)
+            matcher = SequenceMatcher(None, a[i:p].tolist(), b[j:q].tolist(), autojunk=False)
             runs += [(i + m.a, j + m.b, m.size) for m in matcher.get_matching_blocks() if m.size]
-        n = 0
-        while p + n < len(a_list) and q + n < len(b_list) and a_list[p + n] == b_list[q + n]:
-            n += 1
+        n = _agree(a[p:], b[q:])
         if n:
             runs.append((p, q, n))
         i, j = p + n, q + n
-    runs += _grow(a_list, b_list, i, j, 1)
+    runs += [(i + p, j + q, n) for p, q, n in _grow(a[i:], b[j:])]
+    if len(a) < SHINGLE or len(b) < SHINGLE:
+        return []
+    of_a, of_b = (T.shingles(v.astype(np.uint64), np.array([0, len(v)]), SHINGLE)[0] for v in (a, b))
     found, left = [], [runs]
     while left:
         part = left.pop()
@@ -301,7 +304,7 @@ def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[
         a1, b1 = x + n, y + n
         if min(a1 - a0, b1 - b0) < LEAST_WORDS:
             continue
-        value = _similar(a[a0:a1], b[b0:b1])
+        value = 1.0 if len(part) == 1 else _similar(of_a[a0 : a1 - SHINGLE + 1], of_b[b0 : b1 - SHINGLE + 1])
         if value >= SHARE:
             found.append((a0, a1, b0, b1, value))
         elif len(part) > 1:
@@ -400,79 +403,125 @@ def _uncovered(matches: DataFrame, found: DataFrame) -> DataFrame:
     return _by_key(matches, found, of, "seed long, key long, at int")
 
 
-def _shared(docs: DataFrame, holders: DataFrame, open_keys: DataFrame) -> DataFrame:
-    """(key, at, seed): places of the five-word shingles around the seeds of open documents that an earlier document has around one of them too."""
+def contexts(hashes: np.ndarray, ranges: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A byte a word (0 beyond the text) of CONTEXT words before each seed, its own, and CONTEXT after it: a row a seed."""
+    word = (hashes >> np.uint64(56)).astype(np.uint8)
+    word[word == 0] = 1
+    place = at[:, None] + np.arange(-CONTEXT, K + CONTEXT)
+    inside = (place >= 0) & (place < np.diff(ranges)[doc][:, None])
+    return np.where(inside, word[np.where(inside, place + ranges[doc][:, None], 0)], np.uint8(0))
 
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, w, places in zip(batch.column("key").to_pylist(), batch.column("words"), batch.column("places")):
-                own = np.frombuffer(w.as_buffer(), np.uint32).astype(np.uint64)
-                if len(own) < LEAST_WORDS:
-                    continue
-                h = T.shingles(own, np.array([0, len(own)]), SHINGLE)[0].view(np.int64)
-                places, mark = np.array(places.as_py()), np.zeros(len(h) + 1, np.int64)
-                np.add.at(mark, np.clip(places - LEAST_WORDS, 0, len(h)), 1)
-                np.add.at(mark, np.clip(places + K + LEAST_WORDS, 0, len(h)), -1)
-                at = np.flatnonzero(np.cumsum(mark[:-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["h", "key", "at"])
-
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None  # a shingle and the first document that has it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, key, at = (batch.column(c).to_numpy() for c in ("h", "key", "at"))
-            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            firsts = key[start].copy()
-            if last == h[0]:
-                firsts[0] = first
-            last, first = h[-1], firsts[-1]
-            rows = np.flatnonzero(key != np.repeat(firsts, np.diff(np.append(start, len(h)))))
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(at[rows]), pa.array(h[rows])], ["key", "at", "seed"])
 
-    places = holders.groupBy("key").agg(F.collect_list("at").alias("places"))
-    zones = _words_of(docs, holders).join(places, "key").select("key", "words", "places").mapInArrow(around, "h long, key long, at int")
-    rows = zones.repartition("h").sortWithinPartitions("h", "key").mapInArrow(later, "key long, at int, seed long")
-    return rows.join(open_keys, "key", "left_semi")
+def _runs(q: np.ndarray, t: np.ndarray, shift: int) -> np.ndarray:
+    """For each column (of words by pairs) the number of equal words from each place i of q and i + shift of t on."""
+    n = len(q)
+    out = np.zeros((n + 8, q.shape[1]), np.uint8)
+    for i in range(n - 1, -1, -1):
+        if 0 <= i + shift < n:
+            np.multiply(out[i + 1] + np.uint8(1), (q[i] == t[i + shift]) & (q[i] != 0), out=out[i], casting="unsafe")
+    return out
 
 
-def _still_open(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Keys of documents in which a passage, or SPARE shingles of one, may yet be found."""
+def _over_one_edit(q: np.ndarray, t: np.ndarray, first: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """The longest run of four equal words or more behind up to five differing ones on a side, after ``first`` equal ones."""
+    best, column = np.zeros(len(first), np.int64), np.arange(len(first))
+    for shift in range(-3, 4):
+        runs = _runs(q, t, shift) if shift else plain
+        for x in range(max(0, -shift), 6 - max(0, shift)):
+            n = runs[np.minimum(first + x, len(runs) - 1), column].astype(np.int64)
+            best = np.maximum(best, np.where(n >= 4, n, 0))
+    return best
+
+
+def agreement(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The words around each seed that agree over one edit on either side, of rows of contexts; 0 under EXACT equal ones in a row."""
+    q, t = np.ascontiguousarray(q.T), np.ascontiguousarray(t.T)
+    sides = [(q[CONTEXT + K :], t[CONTEXT + K :]), (q[:CONTEXT][::-1], t[:CONTEXT][::-1])]
+    plain = [_runs(x, y, 0) for x, y in sides]
+    first = [p[0].astype(np.int64) for p in plain]
+    out = np.where(first[0] + first[1] + K >= EXACT, first[0] + first[1] + K, 0)
+    use = np.flatnonzero(out)
+    if len(use):
+        for (x, y), p, f in zip(sides, plain, first):
+            out[use] += _over_one_edit(x[:, use], y[:, use], f[use], p[:, use])
+    return out
 
-    def of(key: int, starts: np.ndarray, stops: np.ndarray, at: np.ndarray, _: np.ndarray) -> pa.RecordBatch | None:
-        at = np.unique(at)
-        end = np.searchsorted(at, at + RUN)
-        left = np.concatenate(([0], np.cumsum(_outside(starts, stops, at, SHINGLE))))
-        wanted = (end - np.arange(len(at)) >= DENSE) & (left[end] - left[:-1] >= SPARE)
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64())], ["key"]) if wanted.any() else None
 
-    return _by_key(shared, found, of, "key long")
+def _best(group: np.ndarray, key: np.ndarray, query: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, its best earlier row) by agreement, of whole groups sorted by group and key."""
+    n = np.arange(len(group))
+    new_group = np.concatenate(([True], group[1:] != group[:-1]))
+    new_key = new_group | np.concatenate(([True], key[1:] != key[:-1]))
+    low, high = (np.maximum.accumulate(np.where(x, n, 0)) for x in (new_group, new_key))
+    rows = np.flatnonzero(query)
+    best, partner = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    done, step = np.zeros(len(rows), np.int64), 64
+    active = np.arange(len(rows))
+    while True:
+        active = active[(best[active] < SURE) & (low[rows[active]] + done[active] < high[rows[active]])]
+        if not len(active):
+            break
+        begin = low[rows[active]] + done[active]
+        size = np.minimum(high[rows[active]] - begin, step)
+        for part in np.split(np.arange(len(active)), np.flatnonzero(np.diff(np.cumsum(size) // 16384)) + 1):
+            own = np.repeat(active[part], size[part])
+            other = T.ragged(begin[part], size[part])
+            worth = agreement(context[rows[own]], context[other]) << 32 | (np.int64(1 << 32) - 1 - other)
+            top = np.maximum.reduceat(worth, np.cumsum(size[part]) - size[part])
+            better = (top >> 32) > best[active[part]]
+            best[active[part][better]] = top[better] >> 32
+            partner[active[part][better]] = (1 << 32) - 1 - (top[better] & ((1 << 32) - 1))
+        done[active] += size
+        step = 1024
+    found = best >= NEAR
+    return rows[found], partner[found]
+
+
+def _held(docs: DataFrame, loose: DataFrame) -> DataFrame:
+    """(seed, key, at, context, open): all occurrences of at least the seeds of the loose ones; open marks those."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap.of(loose, "seed", hashed=True))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch):
+                hashes, ranges = word_hashes(part.column("text"))
+                mers, doc, at = seeds(hashes, ranges)
+                use = bitmap.has(sent.value, (mers >> np.uint64(40)).astype(np.int64))
+                mers, doc, at = mers[use], doc[use], at[use]
+                for i in range(0, len(mers), 20_000):
+                    m, d, p = (x[i : i + 20_000] for x in (mers, doc, at))
+                    rows = contexts(hashes, ranges, d, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), part.column("key").take(pa.array(d)), pa.array(p.astype(np.int32)), T.blobs(rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1])], ["seed", "key", "at", "context"])
+
+    held = docs.mapInArrow(run, "seed long, key long, at int, context binary")
+    return held.join(loose.select("seed", "key", "at").distinct().withColumn("open", F.lit(1)), ["seed", "key", "at"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+
+
+def _wider(docs: DataFrame, loose: DataFrame) -> DataFrame:
+    """(key, partner, at, there): each loose occurrence with the earlier one whose surroundings agree best, where a passage may be."""
+    marked = kept(_held(docs, loose).withColumn("kind", F.xxhash64("context")), "held")
+    first = marked.groupBy("seed", "kind").agg(F.min(F.struct("key", "at", "context")).alias("first"), F.max("open").alias("open"))
+    classes = kept(first.select("seed", "kind", "first.*", "open"), "classes")
+    sides = []
+    for side, begin, outer in ((0, CONTEXT - 8, CONTEXT - 8), (1, CONTEXT + K, CONTEXT + K + 7)):
+        whole = classes.where(F.expr(f"substring(context, {outer + 1}, 1) <> x'00'"))
+        sides.append(whole.withColumn("group", F.xxhash64("seed", F.lit(side), F.expr(f"substring(context, {begin + 1}, 8)"))))
+    rows = sides[0].unionByName(sides[1])
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any = 1").select("group", F.ceil(F.col("n") / MOST).cast("int").alias("salts"))
+    dealt = rows.join(sizes, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = dealt.withColumn("query", F.when(F.col("salt") == F.pmod(F.xxhash64("kind"), "salts"), F.col("open")).otherwise(0)).withColumn("group", F.xxhash64("group", "salt"))
 
-def _beyond(docs: DataFrame, matches: DataFrame, found: DataFrame) -> DataFrame:
-    """The passages found, and those with other partners than the two of each occurrence."""
-    loose = kept(_uncovered(matches, found), "loose")
-    if loose.isEmpty():
-        return found
-    holders = kept(_postings(docs).join(loose.select("seed").distinct(), "seed", "left_semi").select("key", "at"), "holders")
-    shared = kept(_shared(docs, holders, loose.select("key").distinct()), "shared")
-    left = kept(_still_open(shared, found), "open")
-    if left.isEmpty():
-        return found
-    wanted = matches.join(left, "key", "left_semi").select("seed").distinct()
-    postings = kept(_postings(docs).join(wanted, "seed", "left_semi"), "wanted")
-    largest = postings.groupBy("seed").count().agg(F.max("count")).first()[0]
-    most = MORE
-    while True:
-        marked = postings.join(left.withColumn("open", F.lit(1)), "key", "left").select("seed", "key", "at", F.coalesce("open", F.lit(0)).alias("open"))
-        chains = kept(_chains(_wider(marked, most)), "chains")
-        found = found.unionByName(kept(_aligned(docs, chains), "passages"))
-        if most >= largest:
-            return found
-        left = kept(_still_open(shared.join(left, "key", "left_semi"), found.join(left, "key", "left_semi")), "open")
-        if left.isEmpty():
-            return found
-        most *= MORE
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, key, at, query, seed, kind, context in _groups(batches, ("group", "key", "at", "query", "seed", "kind", "context")):
+            own, other = _best(group, key, query, context)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[own], kind[own], key[other], at[other])], ["seed", "kind", "partner", "there"])
+
+    best = dealt.repartition("group").sortWithinPartitions("group", "key", "at").select("group", "key", "at", "query", "seed", "kind", "context").mapInArrow(run, "seed long, kind long, partner long, there long")
+    best = best.groupBy("seed", "kind").agg(F.min(F.struct("partner", "there")).alias("best"))
+    both = marked.where("open = 1").select("seed", "kind", "key", "at").join(classes.select("seed", "kind", F.col("key").alias("first_key"), F.col("at").alias("first_at")), ["seed", "kind"]).join(best, ["seed", "kind"], "left")
+    own = F.when(F.col("first_key") < F.col("key"), F.struct(F.col("first_key").alias("partner"), F.col("first_at").cast("long").alias("there"))).otherwise(F.col("best"))
+    return both.select("key", "at", own.alias("own")).where("own is not null").select("key", "own.partner", "at", "own.there")
 
 
 def _united(passages: DataFrame) -> DataFrame:
@@ -521,8 +570,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if not (chosen := _chosen(rows)).isEmpty():
         rows = rows.join(chosen.select("key"), "key", "left_anti").unionByName(chosen)
     matches = kept(_matches(_postings(rows)), "matches")
-    chains = kept(_chains(matches), "chains")
-    return _united(_beyond(rows, matches, kept(_aligned(rows, chains), "passages")))
+    found = kept(_aligned(rows, kept(_chains(matches), "chains")), "passages")
+    loose = kept(_uncovered(matches, found), "loose")
+    if not loose.isEmpty():
+        found = found.unionByName(_aligned(rows, kept(_chains(kept(_wider(rows, loose), "wider"), least=1), "more_chains")))
+    return _united(found)
 
 
 def removed(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
