@@ -52,6 +52,8 @@ def formatted(turns: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocab.encoder(vocabulary)
+        if encoder.model.get_vocab_size() > START:
+            raise ValueError("the vocabulary has the reserved ids itself")
         for batch in batches:
             for part in T.slices(batch):
                 n = part.num_rows

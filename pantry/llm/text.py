@@ -10,6 +10,7 @@ one chunk, or of the longest single text if that is longer.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +24,6 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept between calls unless very long."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if len(have) <= 4 * CHUNK_BYTES:
-            _powers[name] = have
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
@@ -95,18 +79,57 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.flatnonzero(word & edge[1:]) + 1, np.searchsorted(first, offsets)
 
 
+_STEP_IN, _STEP_ON = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+LONG_SPAN = 128  # bytes of a span that are hashed eight at a time; the rest goes through a cryptographic hash
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as an integer; zeros follow the data."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
+    """A 64-bit hash of each byte span: eight bytes at a time are mixed in, with what was there fed forward."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    values = data.astype(np.uint64)
-    values += np.uint64(0x632BE59BD9B4E019)
-    values *= _power("up", _P, len(data))
-    np.cumsum(values, out=total[1:])
-    out = (total[end] - total[first]) * _power("down", _P_INV, len(data))[first]
-    return mix(out + (end - first).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(salt))
+    window, length = eights(data), end - first
+    out = mix(length.astype(np.uint64) * _STEP_ON + np.uint64(salt))
+    which, at, left = None, first, length
+    for _ in range(LONG_SPAN // 8):
+        chunk = window[at] & _MASKS[np.minimum(left, 8)]
+        state = out if which is None else out[which]
+        state = mix((state ^ chunk) * _STEP_IN) + (state * _STEP_ON ^ chunk)
+        if which is None:
+            out = state
+        else:
+            out[which] = state
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return mix(out)
+        which, at, left = more if which is None else which[more], at[more] + 8, left[more] - 8
+    raw = memoryview(np.ascontiguousarray(data))
+    for i, a, n in zip(which.tolist(), at.tolist(), left.tolist()):
+        digest = hashlib.blake2b(raw[a : a + n], digest_size=8, salt=int(out[i]).to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return mix(out)
+
+
+def same_spans(data: np.ndarray, first: np.ndarray, end: np.ndarray, other: np.ndarray, other_first: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether the spans of one array of bytes equal those of another, byte by byte."""
+    length = end - first
+    out = length == other_end - other_first
+    x, y = eights(data), eights(other)
+    which = np.flatnonzero(out)
+    at, to, left = first[which], other_first[which], length[which]
+    while len(which):
+        mask = _MASKS[np.minimum(left, 8)]
+        equal = (x[at] & mask) == (y[to] & mask)
+        out[which[~equal]] = False
+        more = np.flatnonzero(equal & (left > 8))
+        which, at, to, left = which[more], at[more] + 8, to[more] + 8, left[more] - 8
+    return out
 
 
 _STEPS = [np.uint64(x | 1) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]

@@ -3,7 +3,8 @@
 A text is cut where no token of the vocabulary's pre-tokeniser can cross: before white space that follows
 other bytes, between an ASCII letter or digit and ASCII punctuation, and between ASCII punctuation other
 than an apostrophe and an ASCII letter or digit. Units between cuts are encoded by the tokenizers library
-and kept in a table by 64-bit hash; the table belongs to the worker process and is emptied when it holds
+and kept in a table by 64-bit hash with their bytes; every unit's bytes are compared with those its ids came from, so
+two units with one hash get each its own ids. The table belongs to the worker process and is emptied when it holds
 ``CACHE_UNITS`` units, which changes no result. Strings of special tokens inside a text are ordinary text.
 """
 
@@ -56,6 +57,8 @@ class UnitEncoder:
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
+        self.raw = np.zeros(0, np.uint8)  # the units' bytes, and where each begins
+        self.raw_starts = np.zeros(1, np.int64)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of each unit."""
@@ -78,17 +81,22 @@ class UnitEncoder:
     def _hashed(self, data: np.ndarray) -> np.ndarray:
         return T.lower(data) if self.drop_white else data
 
-    def _learn(self, units: list[bytes], hashes: np.ndarray) -> None:
+    def _learn(self, units: list[bytes], hashes: np.ndarray | None) -> np.ndarray:
+        """The rows of new units; those with hashes are found again by them."""
         ids = self._ids([x.decode("utf-8", "replace") for x in units])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        base, first = len(self.starts), len(self.flat)
-        self.starts = np.concatenate((self.starts, first + np.cumsum(lengths) - lengths))
+        rows = len(self.starts) + np.arange(len(units))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, flat))
-        at = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, at, hashes)
-        self.rows = np.insert(self.rows, at, base + np.arange(len(hashes)))
+        self.raw = np.concatenate((self.raw, self._hashed(np.frombuffer(b"".join(units), np.uint8))))
+        self.raw_starts = np.concatenate((self.raw_starts, self.raw_starts[-1] + np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))))
+        if hashes is not None:
+            at = np.searchsorted(self.keys, hashes)
+            self.keys = np.insert(self.keys, at, hashes)
+            self.rows = np.insert(self.rows, at, rows)
+        return rows
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other as uint32, and the range of each text; end_id follows each text."""
@@ -99,17 +107,24 @@ class UnitEncoder:
             first = end = np.zeros(0, np.int64)
         if len(self.keys) > CACHE_UNITS:
             self.reset()
-        hashes = T.span_hashes(self._hashed(data), first, end)
+        seen = self._hashed(data)
+        hashes = T.span_hashes(seen, first, end)
         unique, place, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == unique[inside]
+        raw = data.tobytes()
         if not known.all():
-            raw = data.tobytes()
             new = place[~known]
             self._learn([raw[a:b] for a, b in zip(first[new].tolist(), end[new].tolist())], unique[~known])
-        rows = self.rows[np.searchsorted(self.keys, unique)][back] if len(unique) else np.zeros(0, np.int64)
+        own = self.rows[np.searchsorted(self.keys, unique)] if len(unique) else np.zeros(0, np.int64)
+        rows = own[back]
+        same = T.same_spans(seen, first, end, seen, first[place][back], end[place][back])
+        same &= T.same_spans(seen, first[place], end[place], self.raw, self.raw_starts[own], self.raw_starts[own + 1])[back]
+        other = np.flatnonzero(~same)
+        if len(other):
+            rows[other] = self._learn([raw[a:b] for a, b in zip(first[other].tolist(), end[other].tolist())], None)
         lengths = self.lengths[rows]
         ranges = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(first, offsets)]
         ids = self.flat[T.ragged(self.starts[rows], lengths)]

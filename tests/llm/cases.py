@@ -51,3 +51,11 @@ def plain(spark, texts):
 
 def empty(spark):
     return odd(spark, [])
+
+
+def alike(n=10):
+    """Two different words of 2 ** n bytes that any polynomial hash modulo 2 ** 64 gives the same value."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
