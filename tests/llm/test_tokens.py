@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pantry.llm import chat, packing, queries, token_files
-from tests.llm.cases import empty, odd, prose
+from tests.llm.cases import alike, empty, odd, plain, prose
 
 WORD, BYTE = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte_bpe_50k.json")
 
@@ -24,27 +24,58 @@ def test_packing_round_trip(spark):
     docs = odd(spark)
     rows = docs.collect()
     stream = packing.encoded(docs, WORD, 2)
-    cut = packing.pieces(stream, 64)
-    got = [r.asDict() for r in cut.collect()]
+    packed = packing.sequences(stream, 64, pad_id=9)
+    whole = {r["sequence_id"]: r for r in packed.collect()}
     expected = sorted((-1 if r["doc_id"] is None else r["doc_id"], x.tobytes()) for r, x in zip(rows, ids_of(WORD, [r["text"] for r in rows], 2)))
-    ordered = sorted(got, key=lambda r: (r["sequence_id"], r["offset"]))
-    back, now = [], b""
+    ordered = sorted((r.asDict() for r in packing.pieces(packed).collect()), key=lambda r: (r["sequence_id"], r["offset"]))
+    back, now, at = [], b"", {}
     for r in ordered:
-        assert r["length"] > 0 and zlib.crc32(r["ids"]) == r["ids_crc32"] and r["start"] * 4 == len(now)
-        now += r["ids"]
+        ids = whole[r["sequence_id"]]["ids"][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
+        assert r["length"] > 0 and zlib.crc32(ids) == r["ids_crc32"] and r["start"] * 4 == len(now) and r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+        now += ids
         if len(now) == 4 * r["doc_tokens"]:
             back.append((-1 if r["key"] is None else r["key"], now))
             now = b""
     assert not now and sorted(back) == expected
-    total = sum(r["length"] for r in got)
-    whole = {r["sequence_id"]: r for r in packing.sequences(cut, 64, pad_id=9).collect()}
-    assert sorted(whole) == list(range(-(-total // 64)))
+    assert sorted(whole) == list(range(-(-sum(r["length"] for r in ordered) // 64))) == sorted(at)
     for i, r in whole.items():
-        assert len(r["ids"]) == 4 * packing.padded_length(r["n_ids"], 64)
+        assert len(r["ids"]) == 4 * packing.padded_length(r["n_ids"], 64) and at[i] == r["n_ids"]
         assert r["n_ids"] == 64 or i == len(whole) - 1
-    stream_ids = b"".join(whole[i]["ids"][: 4 * whole[i]["n_ids"]] for i in sorted(whole))
-    assert stream_ids == b"".join(r["ids"] for r in ordered)
-    assert packing.pieces(packing.encoded(empty(spark), WORD, 2)).count() == 0
+        assert np.all(np.frombuffer(r["ids"], np.uint32)[r["n_ids"] :] == 9)
+    assert packing.pieces(packing.sequences(packing.encoded(empty(spark), WORD, 2))).count() == 0
+
+
+def test_words_that_hash_alike_get_their_own_ids(spark, tmp_path):
+    x, y = alike()
+    docs = plain(spark, [x, y, f"{y} {x}", "a"]).coalesce(1)
+    cut = packing.pieces(packing.sequences(packing.encoded(docs, WORD, 2), 1 << 16))
+    assert {r["key"]: r["ids_crc32"] for r in cut.collect()} == {i: zlib.crc32(ids) for i, ids in enumerate(ids_of(WORD, [x, y, f"{y} {x}", "a"], 2))}
+    folder, shards = token_files.token_files(docs, BYTE, 0, folder=str(tmp_path / "alike"))
+    assert {r["key"]: r["ids_crc32"] for r in token_files.read_documents(spark, folder, shards).collect()} == {i: zlib.crc32(ids) for i, ids in enumerate(ids_of(BYTE, [x, y, f"{y} {x}", "a"], 0))}
+
+
+def test_units_with_one_hash_get_their_own_ids(monkeypatch):
+    from pantry.llm import text as T
+    from pantry.llm import vocab
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "span_hashes", lambda data, first, end, salt=0: (end - first).astype(np.uint64) % np.uint64(3))
+    texts = [prose(i, 30, 50) for i in range(20)] + ["The Cat", "the cat"]
+    for path, kind in ((WORD, True), (BYTE, False)):
+        encoder = vocab.UnitEncoder(path, kind)
+        for _ in range(2):  # the second time all hashes are known
+            ids, ranges = encoder.encode(*T.view(pa.array(texts)), 2)
+            assert [ids[a:b].tolist() for a, b in zip(ranges, ranges[1:])] == [x.tolist() for x in ids_of(path, texts, 2)]
+
+
+def test_token_files_width_and_null_keys(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "b"), (-(2**63), "a"), (5, "c")], "doc_id long, text string").coalesce(1)
+    folder, shards = token_files.token_files(docs, BYTE, 0, folder=str(tmp_path / "null"))
+    assert [r["key"] for r in token_files.read_documents(spark, folder, shards).orderBy("start").collect()] == [None, -(2**63), 5]
+    with pytest.raises(Exception, match="beyond the vocabulary"):
+        token_files.token_files(docs, BYTE, 0, folder=str(tmp_path / "narrow"), n_ids=10)
 
 
 def test_padding():
@@ -61,7 +92,7 @@ def test_token_files_round_trip(spark, tmp_path):
     got.sort(key=lambda r: r["start"])
     assert [(r["key"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got] == [(r["doc_id"], s, len(x), zlib.crc32(x)) for r, s, x in zip(rows, starts.tolist(), ids)]
     assert all(r["ids"] == x.tolist() for r, x in zip(got, ids))
-    keys, offsets, flat = token_files.open_shard(folder, shards[0][0])
+    keys, offsets, flat, _ = token_files.open_shard(folder, shards[0][0])
     assert isinstance(flat, np.memmap) and flat.dtype == np.uint16 and offsets.dtype == np.uint64
     (tmp_path / "files" / f"shard-{shards[0][0]:05d}.ids").write_bytes(b"ab")
     with pytest.raises(ValueError):
