@@ -2,15 +2,15 @@
 
 A text is lower-cased and cut into runs of letters. A word of the table adds, for each language, the log of
 its frequency there. For a word that is not in the table the longest order (4, 3, 2, 1) of which any n-gram
-of the word is known is used: the mean over its known n-grams of their log frequency by language. The
+of the word is known is used (by its full hash): the mean over its known n-grams of their log frequency by language. The
 language with the largest sum wins; the score is its posterior after dividing the sums by a power of the
 number of words, so that long texts do not all score 1.
 
 The model comes from a bounded sample: of each language the ``per_language`` texts with the smallest hash
-of their key. All words of the sample are learned from: their n-grams are hashed to 2**16 columns and summed in
-the cluster, and of each word seen twice or more its hash and its counts by language reach the driver (words seen
-once are left to the n-grams). So the model's size is bounded by the sample's, whatever the corpus. At most
-``most_languages`` languages are learned, those with most texts.
+of their key. The words and n-grams of the sample are counted in the cluster, each under its full 64-bit hash. Of each
+language the ``most_words`` most frequent words and the ``most_grams`` most frequent n-grams of each order are learned
+(those seen once are left out but for a language's last resort, its single characters), so what reaches the driver is bounded for each language by
+these parameters, and no language takes room from another. All languages are learned, however many there are.
 
 Nulls: a null text, or one without any letter, is ``und`` with score 0. Null languages are not learned from;
 with no language at all every text is ``und``. A text whose words are all unknown to every order gets the
@@ -32,97 +32,112 @@ from pantry.llm import grams
 from pantry.llm import text as T
 from pantry.llm.shared import fresh, kept
 
-ORDERS, BITS = (1, 2, 3, 4), 16
+ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 
 
 @dataclass
-class Model:
-    languages: list[str]
-    words: np.ndarray  # sorted hashes
-    starts: np.ndarray  # where the pairs of each word begin, and their end
+class Table:
+    """Log frequencies of hashed words, or n-grams of one order, by language; only pairs that were seen are held."""
+
+    hashes: np.ndarray  # sorted
+    starts: np.ndarray  # where the pairs of each begin, and their end
     owner: np.ndarray  # the language of each pair
-    word_logs: np.ndarray  # and its log frequency there
-    unseen: np.ndarray  # by language, that of a word which it does not have
-    gram_known: dict[int, np.ndarray]
-    gram_logs: dict[int, np.ndarray]  # by order: 2 ** BITS rows
-    prior: np.ndarray
+    logs: np.ndarray  # and its log frequency there
+    unseen: np.ndarray  # by language, that of one which it does not have
+
+    @classmethod
+    def of(cls, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, smooth: float) -> "Table":
+        """pairs: (hash, language, times); totals: of each language, all occurrences."""
+        order = np.lexsort((pairs[1], pairs[0]))
+        hashes, own, times = (x[order] for x in pairs)
+        known, starts = np.unique(hashes, return_index=True)
+        room = totals + smooth * max(len(known), 1)
+        return cls(known, np.append(starts, len(hashes)), own.astype(np.int32), np.log((times + smooth) / room[own]).astype(np.float32), np.log(smooth / room).astype(np.float32))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 for those unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add(self, out: np.ndarray, target: np.ndarray, rows: np.ndarray, weight: np.ndarray) -> None:
+        """Adds to each target row of ``out`` the weighted logs of a row of the table."""
+        np.add.at(out, target, weight[:, None] * self.unseen)
+        n = self.starts[rows + 1] - self.starts[rows]
+        pair = T.ragged(self.starts[rows], n)
+        np.add.at(out, (np.repeat(target, n), self.owner[pair]), np.repeat(weight, n) * (self.logs[pair] - self.unseen[self.owner[pair]]))
 
 
-def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], smooth: float = 0.5) -> Model | None:
-    """counts: (language, word, times); shares: texts of each language."""
-    languages = sorted(shares)
-    if not languages or not counts:
-        return None
-    index = {x: i for i, x in enumerate(languages)}
-    words = pa.RecordBatch.from_pydict({"language": [x for x, _, _ in counts], "word": [w for _, w, _ in counts], "n": np.array([n for _, _, n in counts], np.int64)})
-    data, offsets = T.view(words.column("word"))
-    hashes, own = T.span_hashes(data, offsets[:-1], offsets[1:]), np.array([index[x] for x, _, _ in counts], np.int64)
-    times = words.column("n").to_numpy()
-    _, back = np.unique(hashes, return_inverse=True)
-    often = np.bincount(back, weights=times)[back] >= 2
-    gram = gram_counts(words)
-    gram_own = np.array([index[x] for x in gram.column("language").to_pylist()], np.int64)
-    return assembled(shares, int(back.max()) + 1, np.bincount(own, weights=times, minlength=len(languages)), (hashes[often], own[often], times[often]), (gram_own, gram.column("gram").to_numpy(), gram.column("n").to_numpy()), smooth)
+@dataclass
+class Model:
+    languages: list[str]
+    words: Table
+    grams: dict[int, Table]  # by order
+    prior: np.ndarray
 
 
-def gram_counts(words: pa.RecordBatch) -> pa.RecordBatch:
-    """(language, gram, n): how often each hashed n-gram (its order above its column) is in the words (language, word, n)."""
+def counted_grams(words: pa.RecordBatch) -> pa.RecordBatch:
+    """(language, kind, h, n): of words (language, word, h, n) the words, as kind 0, and their n-grams by order."""
     data, offsets = T.view(words.column("word"))
     times = words.column("n").to_numpy()
     names, owner = np.unique(np.array(words.column("language").to_pylist(), object).astype(str), return_inverse=True)
-    grams_of, counts_of = [], []
+    made = [(owner, np.zeros(len(owner), np.int64), words.column("h").to_numpy(), times)]
     for k, (found, own) in zip(ORDERS, grams.ngrams(data, offsets[:-1], offsets[1:], ORDERS)):
         which = np.repeat(np.arange(words.num_rows), np.diff(own))
-        grams_of.append((owner[which] << 20) | (k << BITS) | (found >> np.uint64(64 - BITS)).astype(np.int64))
-        counts_of.append(times[which])
-    gram, back = np.unique(np.concatenate(grams_of), return_inverse=True)
-    n = np.bincount(back, weights=np.concatenate(counts_of), minlength=len(gram)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(names[gram >> 20].tolist(), pa.string()), pa.array(gram & 0xFFFFF), pa.array(n)], ["language", "gram", "n"])
+        order = np.lexsort((found, owner[which]))
+        o, h, n = owner[which][order], found[order], times[which][order]
+        new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))) if len(h) else np.zeros(0, np.int64)
+        made.append((o[new], np.full(len(new), k), h[new].view(np.int64), np.add.reduceat(n, new) if len(new) else n))
+    o, kind, h, n = (np.concatenate(x) for x in zip(*made))
+    return pa.RecordBatch.from_arrays([pa.array(names[o].tolist(), pa.string()), pa.array(kind), pa.array(h), pa.array(n)], ["language", "kind", "h", "n"])
 
 
-def assembled(shares: dict[str, int], n_words: int, totals: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], gram: tuple[np.ndarray, np.ndarray, np.ndarray], smooth: float = 0.5) -> Model:
-    """pairs: (word hash, language, times) of words seen twice or more; gram: (language, gram, times); n_words and totals count all words."""
+def assembled(shares: dict[str, int], totals: dict[tuple[str, int], float], rows: pa.Table, smooth: float = 0.5) -> Model:
+    """shares: texts of each language; totals: occurrences by language and kind; rows: (language, kind, h, n), what is learned."""
     languages = sorted(shares)
-    totals = np.maximum(totals, 1)
-    order = np.lexsort((pairs[1], pairs[0]))
-    hashes, own, times = (x[order] for x in pairs)
-    words, starts = np.unique(hashes, return_index=True)
-    room = totals + smooth * n_words
-    known, logs = {}, {}
-    for k in ORDERS:
-        of = gram[1] >> BITS == k
-        seen = np.zeros((1 << BITS, len(languages)))
-        seen[gram[1][of] & ((1 << BITS) - 1), gram[0][of]] = gram[2][of]
-        known[k] = seen.any(1)
-        logs[k] = np.log((seen + smooth) / (seen.sum(0) + smooth * (1 << BITS))).astype(np.float32)
+    index = {x: i for i, x in enumerate(languages)}
+    own = np.array([index[x] for x in rows.column("language").to_pylist()], np.int64)
+    kind, h, n = (rows.column(c).to_numpy() for c in ("kind", "h", "n"))
+    tables = []
+    for k in (0, *ORDERS):
+        use = kind == k
+        tables.append(Table.of((h[use].view(np.uint64), own[use], n[use]), np.array([max(totals.get((x, k), 0), 1) for x in languages], np.float64), smooth))
     prior = np.log(np.array([shares[x] for x in languages]) / sum(shares.values()))
-    return Model(languages, words, np.append(starts, len(hashes)), own.astype(np.int16), np.log((times + smooth) / room[own]).astype(np.float32), np.log(smooth / room).astype(np.float32), known, logs, prior)
+    return Model(languages, tables[0], dict(zip(ORDERS, tables[1:])), prior)
+
+
+def fit(counts: list[tuple[str, str, int]], shares: dict[str, int], smooth: float = 0.5) -> Model | None:
+    """The model of a few words, without Spark. counts: (language, word, times); shares: texts of each language."""
+    if not shares or not counts:
+        return None
+    words = pa.array([w for _, w, _ in counts], pa.string())
+    data, offsets = T.view(words)
+    hashes = T.span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in counts]), words, pa.array(hashes), pa.array([n for _, _, n in counts], pa.int64())], ["language", "word", "h", "n"])
+    rows = pa.Table.from_batches([counted_grams(batch)])
+    sums = rows.group_by(["language", "kind"]).aggregate([("n", "sum")]).to_pylist()
+    return assembled(shares, {(r["language"], r["kind"]): r["n_sum"] for r in sums}, rows, smooth)
 
 
 def word_scores(model: Model, hashes: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Log frequencies of distinct words, a column a language; zeros for a word of which nothing is known."""
     out = np.zeros((len(hashes), len(model.languages)), np.float64)
-    at = np.minimum(np.searchsorted(model.words, hashes), max(len(model.words) - 1, 0))
-    hit = model.words[at] == hashes if len(model.words) else np.zeros(len(hashes), bool)
-    out[hit] = model.unseen
-    n = model.starts[at[hit] + 1] - model.starts[at[hit]] if hit.any() else np.zeros(0, np.int64)
-    pair = np.repeat(model.starts[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    out[np.repeat(np.flatnonzero(hit), n), model.owner[pair]] = model.word_logs[pair]
-    left = np.flatnonzero(~hit)
+    at = model.words.find(hashes)
+    hit = np.flatnonzero(at >= 0)
+    model.words.add(out, hit, at[hit], np.ones(len(hit)))
+    left = np.flatnonzero(at < 0)
     for k in reversed(ORDERS):
         if not len(left):
             break
         ((found, own),) = grams.ngrams(data, first[left], end[left], (k,))
-        column = (found >> np.uint64(64 - BITS)).astype(np.int64)
-        use = model.gram_known[k][column]
+        at = model.grams[k].find(found)
+        use = at >= 0
         which = np.repeat(np.arange(len(left)), np.diff(own))[use]
         n = np.bincount(which, minlength=len(left))
-        logs = model.gram_logs[k][column[use]]
-        got = n > 0
-        for i in range(len(model.languages)):
-            out[left[got], i] = (np.bincount(which, weights=logs[:, i], minlength=len(left)) / np.maximum(n, 1))[got]
-        left = left[~got]
+        model.grams[k].add(out, left[which], at[use], 1 / n[which])
+        left = left[n == 0]
     return out
 
 
@@ -148,14 +163,14 @@ def predict(model: Model | None, data: np.ndarray, offsets: np.ndarray) -> tuple
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.where(lettered, score, 0.0)
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_languages: int = 256) -> Model | None:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_language: int = 2000, most_words: int = 200_000, most_grams: int = 50_000) -> Model | None:
     """docs: the rows that may be learned from."""
     rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(key).alias("key"), F.col(language).alias("language"))
-    shares = {r["language"]: r["count"] for r in rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(most_languages).collect()}
+    shares = {r["language"]: r["count"] for r in rows.groupBy("language").count().collect()}
     if not shares:
         return None
     # The n smallest hashes of each language, first within each of a number of salts, so no task holds a language.
-    salted = rows.where(F.col("language").isin(*shares)).withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
+    salted = rows.withColumn("salt", F.pmod(F.col("h"), F.lit(64)))
     near = salted.withColumn("r", F.row_number().over(Window.partitionBy("language", "salt").orderBy("h", "key"))).where(F.col("r") <= per_language)
     sample = near.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("h", "key"))).where(F.col("r") <= per_language).select("key", F.col("language").alias("own"))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(language).alias("own"), F.lower(text).alias("text")).join(F.broadcast(sample.distinct()), ["key", "own"])
@@ -174,23 +189,22 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
                 yield pa.RecordBatch.from_pydict({"language": names[key // max(len(place), 1)].tolist(), "word": word, "h": hashes[key % max(len(place), 1)].view(np.int64), "n": times.astype(np.int64)}, schema=pa.schema([("language", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())]))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (gram_counts(batch) for batch in batches if batch.num_rows)
+        yield from (counted_grams(batch) for batch in batches if batch.num_rows)
 
-    counted = kept(texts.select("own", "text").mapInArrow(count, "language string, word string, h long, n long").groupBy("language", "word", "h").agg(F.sum("n").alias("n")), "counted")
-    languages = sorted(shares)
-    index = {x: i for i, x in enumerate(languages)}
-    totals = {r["language"]: r["n"] for r in counted.groupBy("language").agg(F.sum("n").alias("n")).collect()}
+    words = texts.select("own", "text").mapInArrow(count, "language string, word string, h long, n long").groupBy("language", "word", "h").agg(F.sum("n").alias("n"))
+    counted = kept(words.mapInArrow(sums, "language string, kind long, h long, n long").groupBy("language", "kind", "h").agg(F.sum("n").alias("n")), "counted")
+    totals = {(r["language"], r["kind"]): float(r["n"]) for r in counted.groupBy("language", "kind").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return None
-    by_word = counted.groupBy("h").agg(F.sum("n").alias("times"))
-    pairs = counted.join(by_word.where("times >= 2"), "h", "left_semi").select("h", "language", "n").toArrow()
-    gram = counted.select("language", "word", "n").mapInArrow(sums, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
-    own = [np.array([index[x] for x in t.column("language").to_pylist()], np.int64) for t in (pairs, gram)]
-    return assembled(shares, by_word.count(), np.array([totals.get(x, 0) for x in languages], np.float64), (pairs.column("h").to_numpy().view(np.uint64), own[0], pairs.column("n").to_numpy()), (own[1], gram.column("gram").to_numpy(), gram.column("n").to_numpy()))
+    # A sample's words and n-grams are bounded by its texts, so the ranking of a language is too.
+    rank = F.row_number().over(Window.partitionBy("language", "kind").orderBy(F.desc("n"), "h"))
+    most = F.when(F.col("kind") == 0, most_words).otherwise(most_grams)
+    learned = counted.where("n > 1 or kind = 1").withColumn("r", rank).where(F.col("r") <= most).select("language", "kind", "h", "n").toArrow()
+    return assembled(shares, totals, learned)
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows with lang_pred and score."""
+    """The rows with lang_pred and score; columns of the caller's with these names are replaced."""
     docs = docs.drop("lang_pred", "score")
     sent, lowered = docs.sparkSession.sparkContext.broadcast(model), fresh("_lowered_text", docs)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])

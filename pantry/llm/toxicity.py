@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
 
 
 def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
-    """The rows with one more column, the score."""
+    """The rows with one more column, the score; a column of the caller's with that name is replaced (give another ``name``)."""
     docs = docs.drop(name)
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     if model is None:
