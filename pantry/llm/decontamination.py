@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-An item of L words (lower-cased A-Z) is compared with windows of L words. Both are weighted sets of shingles
+An item of L words (lower-cased A-Z) is compared with windows of L words, and with shorter texts as a whole. Both are weighted sets of shingles
 of five words (of L words if L is smaller), the weight of a shingle being how often it occurs. Their
 similarity is the sum of the lesser weights over the sum of the greater; from 0.8 on a window is a leak.
 
  1. A window can only reach that if at least 0.8 of as many places as the item has shingles hold a shingle of some item of
     that length. Places are found by look-up, and the windows that hold enough of them from their order.
  2. Each such window gets a 64-bit SimHash (the signs of the weighted sums of its shingles' bits).
- 3. Fingerprints are cut into 8 blocks of 8 bits. Two within RADIUS bits agree within RADIUS // 8 bits in some
-    block, so a table of all block values that near to an item's guarantees all items within the radius.
-    RADIUS is four and a half standard deviations above the mean distance at a similarity of 0.8.
+ 3. Fingerprints are cut into BLOCKS blocks of BITS bits. Two within RADIUS bits agree within RADIUS // BLOCKS bits in some
+    block. Half of these are varied in a table of the items' block values, half when a window looks it up, so all items
+    within the radius are found; of random fingerprints a seventh are, and the distance decides on these.
+    RADIUS is more than three standard deviations above the mean distance at a similarity of 0.8: of windows right at that
+    similarity three in ten thousand are further away.
  4. The exact similarity decides. Of the windows of a text the best of each item is returned.
 
 Items are taken in blocks of at most ``block_items`` (and ``block_words`` words), each sent to the tasks, so
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from pantry.llm import text as T
 
-K, BLOCKS, RADIUS = 5, 8, 23
-_NEAR = np.array([sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(8), n)], np.int64)
+K, BLOCKS, BITS, RADIUS = 5, 4, 16, 19
+_NEAR = np.array([sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS // 2 + 1) for bits in combinations(range(BITS), n)], np.int64)
 SCHEMA = "key long, item long, similarity double, start_word long, n_words long, distance long, n_windows long"
 
 
@@ -47,7 +49,7 @@ class Length:
     items: np.ndarray  # numbers of the items
     shingles: list[np.ndarray]  # of each, sorted, repeats kept
     prints: np.ndarray
-    table: np.ndarray  # sorted (block << 8 | value)
+    table: np.ndarray  # sorted (block << BITS | value)
     table_item: np.ndarray  # index into items
 
 
@@ -72,6 +74,25 @@ def simhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_blocks(prints: np.ndarray) -> np.ndarray:
+    """The values near to each block of each fingerprint, with the block's number above: (fingerprint, block, value)."""
+    blocks = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS).astype(np.int64)
+    return (np.arange(BLOCKS)[None, :, None] << BITS) | (blocks[:, :, None] ^ _NEAR[None, None, :])
+
+
+def near_items(group: "Length", prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, item) of all pairs that come near in some block; among them are all within RADIUS bits."""
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(prints), 4096):
+        entry = near_blocks(prints[i : i + 4096]).reshape(-1, BLOCKS * len(_NEAR))
+        lo = np.searchsorted(group.table, entry.ravel(), "left")
+        n = np.searchsorted(group.table, entry.ravel(), "right") - lo
+        window = np.repeat(np.repeat(np.arange(i, i + len(entry)), entry.shape[1]), n)
+        found.append(np.unique(window * len(group.items) + group.table_item[T.ragged(lo, n)]))
+    pair = np.concatenate(found)
+    return pair // len(group.items), pair % len(group.items)
+
+
 def build(items: list[tuple[int | None, str | None]], share: float = 0.8) -> Index:
     data, offsets = T.view(pa.array([x for _, x in items], pa.string()))
     data = T.lower(data)
@@ -84,8 +105,7 @@ def build(items: list[tuple[int | None, str | None]], share: float = 0.8) -> Ind
         k = min(K, n)
         rows = np.stack([T.shingles(hashes[ranges[i] : ranges[i + 1]], np.array([0, n]), k)[0] for i in own])
         prints = simhash(rows)
-        blocks = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BLOCKS).astype(np.int64)
-        entry = (np.arange(BLOCKS)[None, :, None] << 8) | (blocks[:, :, None] ^ _NEAR[None, None, :])
+        entry = near_blocks(prints)
         item = np.broadcast_to(np.arange(len(own))[:, None, None], entry.shape).ravel()
         order = np.argsort(entry.ravel(), kind="stable")
         known.setdefault(k, []).append((np.unique(rows), len(lengths)))
@@ -142,19 +162,15 @@ def leaks(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int
             m = group.words - k + 1
             need = max(1, int(np.ceil(index.share * m - 1e-9)))
             starts = _starts(place[a:b], doc[a:b], own, m, need)
-            if not len(starts):
-                continue
             step = max(1, (1 << 20) // m)
-            for s in range(0, len(starts), step):
-                some = starts[s : s + step]
-                rows = shingles[some[:, None] + np.arange(m)]
+            found = [(some, shingles[some[:, None] + np.arange(m)]) for some in (starts[s : s + step] for s in range(0, len(starts), step))]
+            held = np.bincount(doc[a:b], minlength=len(own) - 1)
+            size = np.diff(own)  # texts that are shorter than the item: each as a whole
+            short = np.flatnonzero((held >= need) & (size < m) & (np.diff(ranges) >= k))
+            found += [(own[d : d + 1], shingles[None, own[d] : own[d + 1]]) for d in short.tolist()]
+            for some, rows in found:
                 prints = simhash(rows)
-                blocks = prints.view(np.uint8).reshape(-1, BLOCKS).astype(np.int64) | (np.arange(BLOCKS) << 8)
-                lo = np.searchsorted(group.table, blocks.ravel(), "left")
-                n = np.searchsorted(group.table, blocks.ravel(), "right") - lo
-                window = np.repeat(np.repeat(np.arange(len(some)), BLOCKS), n)
-                pair = np.unique(window * len(group.items) + group.table_item[T.ragged(lo, n)])
-                window, item = pair // len(group.items), pair % len(group.items)
+                window, item = near_items(group, prints)
                 distance = np.bitwise_count(prints[window] ^ group.prints[item])
                 near = distance <= RADIUS
                 for w, i, d in zip(window[near].tolist(), item[near].tolist(), distance[near].tolist()):

@@ -47,7 +47,7 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = packing.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
-    return packing.pieces(stream, 4096).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pieces(packing.sequences(stream, 4096)).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +126,8 @@ de as (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') as h from (sele
 hit as (select de.doc_id, iw.item_id, iw.n, iw.k, de.p from de join iw on de.k = iw.k and de.h = iw.h),
 cand as (select doc_id, item_id, n, k, unnest(range(greatest(1, min(p) - n + k), max(p) + 1)) as start from hit group by doc_id, item_id, n, k having count(*) >= 0.8 * (n - k + 1)),
 win as (select c.doc_id, c.item_id, c.n, c.k, c.start, de.h, count(*) as c from cand c join d using (doc_id) join de on de.doc_id = c.doc_id and de.k = c.k and de.p between c.start and c.start + c.n - c.k
-  where c.start + c.n - 1 <= len(d.w) group by all),
-sim as (select win.doc_id, win.item_id, win.n, win.start, sum(least(win.c, coalesce(iw.c, 0))) as common, win.n - win.k + 1 as m from win left join iw on iw.item_id = win.item_id and iw.h = win.h group by win.doc_id, win.item_id, win.n, win.k, win.start),
-j as (select *, common / (2.0 * m - common) as similarity from sim where common / (2.0 * m - common) >= 0.8)
+  where c.start + c.n - 1 <= len(d.w) or (c.start = 1 and len(d.w) < c.n) group by all),
+sim as (select win.doc_id, win.item_id, win.n, win.start, sum(least(win.c, coalesce(iw.c, 0))) as common, win.n - win.k + 1 + sum(win.c) as m from win left join iw on iw.item_id = win.item_id and iw.h = win.h group by win.doc_id, win.item_id, win.n, win.k, win.start),
+j as (select *, common / (1.0 * m - common) as similarity from sim where common / (1.0 * m - common) >= 0.8)
 select doc_id, item_id, round(max(similarity), 6) as similarity, arg_max(start, similarity * 1000000 - start * 0.0000001) - 1 as start_word, n as n_words, count(*) as n_windows from j group by doc_id, item_id, n""",
 }
