@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pantry.llm import decontamination, ngram_join, substring
 from pantry.llm.components import components
-from tests.llm.cases import empty, lowered, odd, plain, prose, words
+from tests.llm.cases import alike, empty, lowered, odd, plain, prose, words
 
 
 def classes(keys, links):
@@ -80,6 +80,33 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.linked(empty(spark)).count() == 0
 
 
+def test_ngram_join_tells_words_apart_that_hash_alike(spark):
+    x, y = alike()
+    assert [r["component"] for r in ngram_join.linked(plain(spark, [x, y])).orderBy("key").collect()] == [0, 1]
+
+
+def test_ngram_join_filters_of_all_orders_come_before_the_sets():
+    import pyarrow as pa
+
+    r, rule, classes = random.Random(9), ngram_join.Rule(4, 85, 100), np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8)
+    base, texts = prose("orders", 60).split(), []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(3 * (i % 6)):
+            copy[r.randrange(60)] = f"edit{i}"
+        texts.append(" ".join(copy))
+    values, ranges = ngram_join.sets(rule, pa.array(texts))
+    own = [values[a:b] for a, b in zip(ranges, ranges[1:])]
+    heads = []
+    for v in own:
+        length = len(v) - rule.least_overlap(len(v)) + 1
+        heads.append(np.concatenate([(v[np.argsort(ngram_join.order_keys(v, classes, o))[:length]] >> np.uint64(32)).astype(np.uint32) for o in range(3)]))
+    pairs = [(i, j) for i in range(60) for j in range(i)]
+    linked = {(i, j) for i, j in pairs if 100 * len(np.intersect1d(own[i], own[j])) >= 85 * len(np.union1d(own[i], own[j]))}
+    left = [{p for p in pairs if all(ngram_join.meet(heads[p[0]], heads[p[1]])[:n])} for n in range(4)]
+    assert linked <= left[3] and len(left[3]) < len(left[2]) < len(left[1]) < len(left[0])  # each order removes candidates and no link
+
+
 def test_cells_bound_the_overlap():
     r = np.random.default_rng(1)
     for n, m in ((5, 6), (100, 115), (900, 1020), (63, 64)):
@@ -150,6 +177,72 @@ def test_substring_repeated_keys_with_different_texts(spark):
     assert sorted(r["text"] for r in substring.removed(docs, passages).collect()) == sorted([a, prose(800, 90) + " ", prose(801, 120), prose(801, 120)])
 
 
+def test_substring_is_brute_force(spark):
+    """What windows of 50 words share with windows of earlier texts that are 0.8 alike is covered, and hardly anything else."""
+    r = random.Random(11)
+    texts, passages = [], [prose(f"passage{i}", r.choice((50, 55, 70, 120))) for i in range(5)]
+    for d in range(36):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            parts.append(prose(r.random(), r.randrange(0, 60)))
+            piece = r.choice(passages).split()
+            for _ in range(r.choice((0, 0, 1, 1, 2, 5))):
+                at = r.randrange(len(piece))
+                piece[at : at + 1] = r.choice(([f"edit{d}"], [], [piece[at], f"more{d}"]))
+            parts.append(" ".join(piece[r.choice((0, 0, 12)) :]))
+        texts.append(" ".join(parts))
+    texts += [prose("p", 30) + " la di da" * 40, prose("q", 30) + " la di da" * 50, texts[3]]
+    own = [words(t) for t in texts]
+    shingled = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in own]
+    number = {s: i for i, s in enumerate({s for x in shingled for s in x})}
+
+    def windows(x):
+        out = np.zeros((max(len(x) - 45, 0), len(number)), np.float32)
+        for i in range(len(out)):
+            out[i, [number[s] for s in x[i : i + 46]]] = 1
+        return out
+
+    sets = [windows(x) for x in shingled]
+    wanted = []
+    for d in range(len(own)):
+        cover = np.zeros(len(own[d]), bool)
+        for e in range(d):
+            if len(sets[d]) and len(sets[e]):
+                both = sets[d] @ sets[e].T
+                like = both >= 0.8 * (sets[d].sum(1)[:, None] + sets[e].sum(1)[None, :] - both)
+                for i, j in zip(*np.nonzero(like)):  # from the first common shingle to the last one's end
+                    common = [t for t in range(i, i + 46) if sets[e][j, number[shingled[d][t]]]]
+                    cover[common[0] : common[-1] + 5] = True
+        wanted.append(cover)
+    got = [np.zeros(len(w), bool) for w in own]
+    for p in substring.repeated(plain(spark, texts)).collect():
+        got[p["key"]][p["start"] : p["stop"]] = True
+        a, b = (set(shingled[k][i : j - 4]) for k, i, j in ((p["key"], p["start"], p["start"] + 50), (p["partner"], p["there"], p["there_stop"])))
+        assert p["partner"] < p["key"] and p["similarity"] >= 0.8 and p["stop"] - p["start"] >= 50 and a & b
+    hit, all_wanted = sum(int((g & w).sum()) for g, w in zip(got, wanted)), sum(int(w.sum()) for w in wanted)
+    extra = sum(int((g & ~w).sum()) for g, w in zip(got, wanted))
+    assert all_wanted > 1500 and hit >= 0.97 * all_wanted and extra <= 0.03 * all_wanted, (hit, extra, all_wanted)
+
+
+def test_substring_finds_one_good_partner_among_many(spark):
+    a = prose("many", 80).split()
+    texts = [" ".join(w if i % 9 else f"x{d}y{i}" for i, w in enumerate(a, d % 9)) for d in range(90)]  # an edit in nine words: no two are alike
+    texts.insert(70, " ".join(a))
+    texts.append(" ".join(w if i != 40 else "other" for i, w in enumerate(a)))
+    got = [(r["key"], r["partner"], r["start"], r["stop"]) for r in substring.repeated(plain(spark, texts)).collect()]
+    assert got == [(91, 70, 0, 80)]
+
+
+def test_agreement_counts_words_over_one_edit():
+    r = np.random.default_rng(2)
+    row = r.integers(1, 256, 2 * substring.CONTEXT + substring.K).astype(np.uint8)
+    end = len(row) - substring.CONTEXT  # the seed's end
+    changed, shorter, far = row.copy(), np.append(np.delete(row, end + 20), 7).astype(np.uint8), np.where(np.arange(len(row)) % 9 == 0, 0, row).astype(np.uint8)
+    changed[end + 20] ^= 255
+    got = substring.agreement(np.stack([row] * 4), np.stack([row, changed, shorter, far]))
+    assert got[0] == len(row) and got[1] == len(row) - 1 and got[2] in (len(row) - 1, len(row) - 2) and got[3] == 0
+
+
 def test_substring_odd_rows(spark):
     rows = substring.repeated(odd(spark)).collect()
     assert {(r["key"], r["partner"], r["start"], r["stop"]) for r in rows} == {(8, 7, 0, 80)}
@@ -178,7 +271,7 @@ def leaks(docs, items):
             if y:
                 k = min(5, len(y))
                 want, best = Counter(weights(y, k)), 0.0
-                for s in range(len(w) - len(y) + 1):
+                for s in range(max(len(w) - len(y) + 1, 1)):
                     have = Counter(weights(w[s : s + len(y)], k))
                     best = max(best, sum((want & have).values()) / sum((want | have).values()))
                 if best >= 0.8:
@@ -200,9 +293,24 @@ def test_decontamination_is_brute_force(spark):
         docs.append((i, " ".join(text)))
     docs.append((40, "x again again again again again again again y"))
     table = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(41, " ".join(items[6][1].split()[:57])), (42, " ".join(items[6][1].split()[:30])), (43, " ".join(items[4][1].split()[1:]))]  # shorter than the item
     for block in (5000, 3):
         got = decontamination.contaminated(plain(spark, [t for _, t in docs]), table, block_items=block).collect()
         assert {(r["key"], r["item"]): round(r["similarity"], 9) for r in got} == leaks(docs, items)
     assert decontamination.contaminated(odd(spark), table).where("n_words > 3").count() == 0  # a single word may stand anywhere
     assert decontamination.contaminated(empty(spark), table).count() == 0
     assert decontamination.contaminated(odd(spark), table.limit(0)).count() == 0
+
+
+def test_decontamination_blocks_find_all_within_the_radius_and_leave_most_out():
+    items = [(i, prose(f"many{i}", 30)) for i in range(300)]
+    (group,) = decontamination.build(items).lengths
+    r = np.random.default_rng(4)
+    far = r.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << r.choice(64, n, replace=False).astype(np.uint64)) for n in r.integers(0, decontamination.RADIUS + 1, 300)])
+    prints = np.concatenate((far, group.prints ^ flips))
+    window, item = decontamination.near_items(group, prints)
+    got = set(zip(window.tolist(), item.tolist()))
+    close = np.bitwise_count(prints[:, None] ^ group.prints[None, :]) <= decontamination.RADIUS
+    assert set(zip(*(x.tolist() for x in np.nonzero(close)))) <= got and close.sum() >= 300
+    assert len([w for w, _ in got if w < 500]) < 0.2 * 500 * 300
