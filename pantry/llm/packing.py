@@ -14,7 +14,6 @@ Memory: a task holds one chunk of text or the longest single document.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -57,7 +56,7 @@ _CUT = pa.schema([("sequence_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa
 
 
 def sequences(stream: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
-    """One row a sequence, written: sequence_id, n_ids, ids (binary, unsigned 32-bit, padded) and its pieces (offset, key, start, length, doc_tokens).
+    """One row a sequence, written once: sequence_id, n_ids, ids (binary, unsigned 32-bit, padded) and its pieces (offset, key, start, length, doc_tokens).
 
     stream: as ``encoded`` gives it. A sequence has at most ``window`` pieces, so no group is larger than that.
     """
@@ -65,7 +64,7 @@ def sequences(stream: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "ids", 4 * T.CHUNK_BYTES):
+            for part in T.slices(batch, "ids"):
                 place = before[np.searchsorted(tasks, part.column("task").to_numpy())] + part.column("before").to_numpy()
                 order = np.argsort(place, kind="stable")
                 part, place = part.take(pa.array(order)), place[order]
@@ -96,24 +95,15 @@ def sequences(stream: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFra
     room = F.when(F.col("n_ids").bitwiseAND(F.col("n_ids") - 1) == 0, F.lit(0)).otherwise(F.lit(window) - F.col("n_ids"))
     pad = F.unhex(F.repeat(F.lit(pad_id.to_bytes(4, "little").hex()), room.cast("int")))
     joined = joined.withColumn("ids", F.concat("ids", pad))
-    return kept(runs.where("whole").drop("whole").unionByName(joined), "sequences")
+    return runs.where("whole").drop("whole").unionByName(kept(joined, "joined"))
 
 
 def pieces(packed: DataFrame) -> DataFrame:
     """One row a piece, read back from the sequences: key, start, length, doc_tokens, sequence_id, offset, ids_crc32 (of its ids as unsigned 32-bit)."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in T.slices(batch, "ids", 4 * T.CHUNK_BYTES):
-                column = part.column("pieces")
-                own, bounds = column.flatten(), np.asarray(column.offsets)
-                row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                offset, key, start, length, tokens = own.flatten()
-                raw = [x.as_buffer() for x in part.column("ids")]
-                crc = [zlib.crc32(memoryview(raw[r])[4 * a : 4 * (a + n)]) for r, a, n in zip(row.tolist(), offset.to_pylist(), length.to_pylist())]
-                yield pa.RecordBatch.from_arrays([key, start, length, tokens, part.column("sequence_id").take(pa.array(row)), offset, pa.array(crc, pa.int64())], ["key", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"])
-
-    return packed.select("sequence_id", "ids", "pieces").mapInArrow(read, "key long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    each = packed.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    ids = F.expr("substring(ids, int(4 * p.offset + 1), int(4 * p.length))")
+    return each.select("p.key", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", F.crc32(ids).alias("ids_crc32"))
 
 
 def padded_length(n: int, window: int = 4096) -> int:
