@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# What marks a rendered page, and the characters that a query language reserves.
 HTML = r"(?i)<(!doctype\s+html|html[\s>])"
+RESERVED = r'([+\-=&|><!(){}\[\]^"~*?:\\/])'
+
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def trim(x: Column) -> Column:
@@ -54,7 +57,7 @@ def completeness_level(x: Column) -> Column:
 
 def escape_query(x: Column) -> Column:
     """Reserved characters of a query language with a backslash before each, so that text stays literal."""
-    return F.regexp_replace(x, r'([+\-=&|><!(){}\[\]^"~*?:\\/])', r"\\$1")
+    return F.regexp_replace(x, RESERVED, r"\\$1")
 
 
 def joined(x: Column) -> Column:
@@ -78,7 +81,11 @@ def tokens(*columns: Column) -> Column:
 
 
 def url_component(x: Column) -> Column:
-    return F.url_encode(x)
+    """Percent-encoded but for letters, digits and - _ . ! ~ * ' ( )."""
+    out = F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))
+    for code, plain in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
 
 
 def thousands(x: Column) -> Column:

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pantry.functions import nutrients
+from pantry.functions import scalars as S
 from pantry.plans.requests import CompareRequest
 from pantry.plans.schema import CatalogSpec
 
 
+LEAST_COMPLETE = 0.5
+
+
 @dataclass
 class CompareResult:
     products: list[dict]
@@ -38,6 +42,19 @@ def compare_rows(products: DataFrame, keys: list[str], spec: CatalogSpec = Catal
     return batch(own, keys, spec.key)
 
 
+def outcomes(products: DataFrame, keys: list[str], quarantine: DataFrame, column: str = "code") -> DataFrame:
+    """(pos, barcode, outcome, reason, error): of each key, in order, whether it was found, not found, or could not be read."""
+    bad = quarantine.where(F.col(column).isin(sorted(set(keys)))).groupBy(column).agg(F.min(F.struct("reason", "error")).alias("bad"))
+    rows = batch(products.select(column), keys, column).join(bad.withColumnRenamed(column, "barcode"), "barcode", "left")
+    outcome = F.when(F.col("bad").isNotNull(), "failed").when(F.col("found"), "found").otherwise("not_found")
+    return rows.select("pos", "barcode", outcome.alias("outcome"), "bad.reason", S.sentence(F.col("bad.error")).alias("error")).orderBy("pos")
+
+
+def sparse(rows: DataFrame, least: float = LEAST_COMPLETE) -> DataFrame:
+    """Products of whose fields too many are missing."""
+    return rows.where(F.col("completeness") < least)
+
+
 def compare(products: DataFrame, request: CompareRequest, quarantine: DataFrame | None = None, spec: CatalogSpec = CatalogSpec()) -> CompareResult:
     """A key in the quarantine failed: it gets no row and does not count as missing."""
     failed = []
@@ -50,5 +67,5 @@ def compare(products: DataFrame, request: CompareRequest, quarantine: DataFrame
     rows = [r.asDict() for r in compare_rows(products, keys, spec).collect()] if keys else []
     out = [{k: v for k, v in r.items() if v is not None and k != "pos"} for r in rows]
     found = [r for r in out if r["found"]]
-    low = [r.get("product_name", r["barcode"]) for r in found if r.get("completeness") is not None and r["completeness"] < 0.5]
+    low = [r.get("product_name", r["barcode"]) for r in found if r.get("completeness") is not None and r["completeness"] < LEAST_COMPLETE]
     return CompareResult(out, len(found), [r["barcode"] for r in out if not r["found"]], failed or None, low)

@@ -1,16 +1,58 @@
-"""Markdown of the four results. Every value is written in full; nothing is cut here."""
+"""Markdown of the four results.
+
+Each result becomes a title, sheets (a table with a heading each) and notes; one writer puts them down. Which fields a
+sheet has, their units and what is said where a value is absent stand in the tables below. Every value is written in
+full; nothing is cut here.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 from pantry.operators.compare import CompareResult
 from pantry.operators.lookup import LookupResult
 from pantry.operators.search import SearchResult
 from pantry.operators.vocabulary import VocabularyResult
 
-SOURCE = "*Crowd-sourced data: a field that is missing has not been entered yet.*"
 NONE = "N/A"
+SOURCE = "Entered by many hands: what is missing here has not been entered yet."
+
+#: (field, what is said when it was asked for and is absent; None: the row is left out)
+RECORD: tuple[tuple[str, str | None], ...] = (
+    ("product_name", "Unknown product"),
+    ("brands", None),
+    ("quantity", None),
+    ("serving_size", None),
+    ("serving_quantity", None),
+    ("nutriscore_grade", None),
+    ("nova_group", None),
+    ("ecoscore_grade", None),
+    ("nutriments", "Not available"),
+    ("ingredients_text", "Not available"),
+    ("allergens_tags", "Not entered, which does not mean free of allergens"),
+    ("additives_tags", None),
+    ("categories_tags", None),
+    ("labels_tags", None),
+    ("packaging_tags", None),
+    ("origins_tags", None),
+    ("image_url", None),
+    ("completeness", None),
+    ("data_quality_tags", None),
+)
+NOT_REQUESTED = "Not requested"
+#: Units of the named nutrients that are no grams.
+UNITS = {"energy_kcal": "kcal"}
+PER = ("100g", "serving")
+COMPARED = ("energy_kcal_100g", "fat_100g", "saturated_fat_100g", "sugars_100g", "salt_100g", "proteins_100g", "fiber_100g")
+LEVELS = ((0.8, "high"), (0.5, "moderate"), (-math.inf, "low: many fields are missing"))
+
+
+@dataclass
+class Sheet:
+    heading: str
+    columns: tuple[str, ...]
+    rows: list[tuple] = field(default_factory=list)
 
 
 def num(x: float | int | None) -> str:
@@ -27,117 +69,108 @@ def percent(x: float) -> str:
     return f"{math.floor(x * 100 + 0.5)}%"
 
 
-def _level(x: float) -> str:
-    return "high" if x >= 0.8 else "moderate" if x >= 0.5 else "low, many fields are missing"
+def cell(value: object) -> str:
+    """A value as it stands in a table: lists joined, numbers plain, absent ones named so; no cell ends a row early."""
+    if value is None or value == "":
+        text = NONE
+    elif isinstance(value, bool):
+        text = str(value).lower()
+    elif isinstance(value, (int, float)):
+        text = num(value)
+    elif isinstance(value, (list, tuple)):
+        text = ", ".join(map(str, value)) or NONE
+    else:
+        text = str(value)
+    return text.replace("|", "\\|").replace("\r\n", "\n").replace("\n", "<br>")
+
+
+def write(title: str, sheets: list[Sheet], notes: list[str | None]) -> str:
+    out = [f"# {title}"]
+    for s in sheets:
+        if s.rows:
+            out += ["", f"## {s.heading}", "", f"| {' | '.join(s.columns)} |", "|" + " --- |" * len(s.columns)]
+            out += [f"| {' | '.join(map(cell, row))} |" for row in s.rows]
+    said = [f"> {n}" for n in notes if n]
+    return "\n".join([*out, "", *said] if said else out)
 
 
-def _scores(p: dict, eco: str) -> str | None:
-    parts = [f"{title}: {num(p[k]) if k == 'nova_group' else p[k]}" for k, title in (("nutriscore_grade", "Nutri-Score"), ("nova_group", "NOVA"), ("ecoscore_grade", eco)) if p.get(k) is not None]
-    return "**Scores:** " + " | ".join(parts) if parts else None
+def _completeness(x: float | None) -> str | None:
+    return None if x is None else f"{percent(x)} ({num(x)}, {next(word for least, word in LEVELS if x >= least)})"
 
 
-def _others(entries: dict) -> list[str]:
-    return [f"  - {k}: {num(v['value'])}" + (f" {v['unit']}" if v.get("unit") else "") for k, v in entries.items()]
+def _value(name: str, product: dict) -> object:
+    """What the record says of a field; for the nested ones, where to look."""
+    value = product.get(name)
+    if name == "completeness":
+        return _completeness(value)
+    if name == "serving_quantity" and value is not None:
+        return f"{num(value)} {product.get('serving_quantity_unit') or '(unit not recorded)'}"
+    if name == "nutriments" and value:
+        return "see below"
+    return value or None if isinstance(value, (dict, list, str)) else value
 
 
-_PER_100G = (("energy_kcal_100g", "**Energy:** {} kcal"), ("fat_100g", "**Fat:** {} g"), ("saturated_fat_100g", "  - Saturated fat: {} g"), ("carbohydrates_100g", "**Carbohydrates:** {} g"), ("sugars_100g", "  - Sugars: {} g"), ("fiber_100g", "**Fiber:** {} g"), ("proteins_100g", "**Protein:** {} g"), ("salt_100g", "**Salt:** {} g"), ("sodium_100g", "**Sodium:** {} g"))
-_PER_SERVING = (("energy_kcal_serving", "**Energy:** {} kcal"), ("fat_serving", "**Fat:** {} g"), ("sugars_serving", "**Sugars:** {} g"))
+def _nutrients(n: dict) -> list[tuple]:
+    """A row a nutrient: its figure per 100 g and per serving."""
+    figures: dict[str, dict[str, str]] = {}
+    for key, value in n.items():
+        base, _, per = key.rpartition("_")
+        if base == "additional":
+            for name, entry in value.items():
+                figures.setdefault(name, {})[per] = " ".join(x for x in (num(entry["value"]), entry.get("unit")) if x)
+        elif value is not None:
+            figures.setdefault(base, {})[per] = f"{num(value)} {UNITS.get(base, 'g')}"
+    return [(name, *[own.get(per) for per in PER]) for name, own in figures.items()]
 
 
 def lookup(r: LookupResult) -> str:
     p, asked = r.product, r.requested_fields
-
-    def missing(field: str, otherwise: str) -> str:
-        return "Not requested" if asked is not None and field not in asked else otherwise
-
-    out = [f"## {p.get('product_name') or 'Unknown product'}", f"**Barcode:** {r.barcode}"]
-    if asked:
-        out.append(f"**Requested fields:** {', '.join(asked)}. Other sections were not requested; that does not mean they are missing.")
-    out += [f"**{title}:** {p[k]}" for k, title in (("brands", "Brand"), ("quantity", "Quantity")) if p.get(k)]
-    if p.get("serving_size") is not None or p.get("serving_quantity") is not None:
-        parsed = "" if p.get("serving_quantity") is None else f" (parsed: {num(p['serving_quantity'])} {p.get('serving_quantity_unit') or '(unit not recorded)'})"
-        out.append(f"**Serving size:** {p.get('serving_size') or 'not printed'}{parsed}")
-    out += [s for s in [_scores(p, "Eco-Score")] if s]
-    n = p.get("nutriments")
-    if n:
-        out.append("\n### Nutrition per 100g")
-        out += [form.format(num(n[k])) for k, form in _PER_100G if n.get(k) is not None]
-        if n.get("additional_100g"):
-            out += ["**Other nutrients per 100g:**", *_others(n["additional_100g"])]
-        serving = [form.format(num(n[k])) for k, form in _PER_SERVING if n.get(k) is not None]
-        if n.get("additional_serving"):
-            serving += ["**Other nutrients per serving:**", *_others(n["additional_serving"])]
-        if serving:
-            size = p.get("serving_size")
-            out.append("\n### Nutrition per serving" + (f" ({size})" if size else ""))
-            out += ([] if size else ["*No serving size is recorded: what these figures refer to is unknown.*"]) + serving
-    else:
-        out.append(f"\n**Nutrition:** {missing('nutriments', 'Not available')}")
-    if p.get("ingredients_text"):
-        out.append(f"\n### Ingredients\n```\n{p['ingredients_text']}\n```")
-    else:
-        out.append(f"\n**Ingredients:** {missing('ingredients_text', 'Not available')}")
-    if p.get("ingredients"):
-        out.append("\n**Parsed ingredients:**")
-        for i in p["ingredients"]:
-            marks = [f"id: {i['id']}"] if i.get("id") else []
-            marks += [f"~{num(i['percent_estimate'])}%"] if i.get("percent_estimate") is not None else []
-            marks += [f"{k}: {i[k]}" for k in ("vegan", "vegetarian") if i.get(k)]
-            out.append(f"- {i['text']}" + (f" ({', '.join(marks)})" if marks else ""))
-    out.append(f"\n**Allergens:** {', '.join(p['allergens_tags'])}" if p.get("allergens_tags") else f"\n**Allergens:** {missing('allergens_tags', 'Not entered (which does not mean free of allergens)')}")
-    for k, title in (("additives_tags", "Additives"), ("data_quality_tags", "Data quality tags"), ("categories_tags", "Categories"), ("labels_tags", "Labels"), ("packaging_tags", "Packaging"), ("origins_tags", "Origins")):
-        if p.get(k):
-            out.append(f"**{title}:** {', '.join(p[k])}")
-    if p.get("image_url"):
-        out.append(f"**Image:** {p['image_url']}")
-    if p.get("completeness") is not None:
-        out.append(f"**Data completeness:** {percent(p['completeness'])} (exactly {num(p['completeness'])}, {_level(p['completeness'])})")
-    return "\n".join([*out, "", SOURCE])
+    rows: list[tuple] = [("barcode", r.barcode)]
+    for name, absent in RECORD:
+        value = _value(name, p)
+        if value is None and absent is not None:
+            value = NOT_REQUESTED if asked is not None and name not in asked else absent
+        if value is not None:
+            rows.append((name, value))
+    nutrients = _nutrients(p.get("nutriments") or {})
+    ingredients = [tuple(i.get(k) for k in ("text", "id", "percent_estimate", "vegan", "vegetarian")) for i in p.get("ingredients") or []]
+    notes = [
+        f"Only these fields were requested: {', '.join(asked)}." if asked else None,
+        "No serving size is recorded: what the figures per serving refer to is unknown." if any(row[2] for row in nutrients) and not p.get("serving_size") else None,
+        SOURCE,
+    ]
+    sheets = [Sheet("Record", ("Field", "Value"), rows), Sheet("Nutrients", ("Nutrient", "Per 100 g", "Per serving"), nutrients), Sheet("Ingredients as parsed", ("Text", "Id", "Percent (estimate)", "Vegan", "Vegetarian"), ingredients)]
+    return write(p.get("product_name") or "Unknown product", sheets, notes)
 
 
 def search(r: SearchResult) -> str:
-    if not r.products:
-        return f"**No products found** (total: {r.total})\n\n{r.notice or ''}".rstrip()
-    out = [f"**{r.total}{'+' if r.total_is_lower_bound else ''} products** (page {r.page}, showing {r.page_count})"]
-    if r.total_is_lower_bound:
-        out.append(f"*At least {r.total} match; counting stops there. Add filters for an exact number.*")
-    if r.truncated:
-        out.append(f"*{r.notice}*")
-    for p in r.products:
-        out += ["", f"### {p.get('product_name') or 'Unknown product'}", f"**Barcode:** {p['barcode']}"]
-        out += [f"**Brand:** {p['brands']}"] if p.get("brands") else []
-        out += [s for s in [_scores(p, "Green-Score")] if s]
-        out += [f"**Categories:** {', '.join(p['categories_tags'])}"] if p.get("categories_tags") else []
-    return "\n".join([*out, "", SOURCE])
+    names = ("barcode", "product_name", "brands", "nutriscore_grade", "nova_group", "ecoscore_grade", "categories_tags")
+    found = Sheet("Products", names, [tuple(p.get(n) for n in names) for p in r.products])
+    count = f"{r.total}{'+' if r.total_is_lower_bound else ''}"
+    title = f"{count} products match, {r.page_count} on page {r.page}" if r.products else f"No products found (total: {count})"
+    bound = f"At least {r.total} match; counting stops there. Filters make the number exact." if r.total_is_lower_bound else None
+    return write(title, [found], [bound, r.notice, SOURCE if r.products else None])
 
 
 def compare(r: CompareResult) -> str:
-    out = [f"## Product comparison ({r.succeeded}/{len(r.products) + len(r.failed or [])} found)"]
-    if r.not_found:
-        out.append(f"\n**Not found:** {', '.join(r.not_found)} (not entered yet)")
-    if r.failed:
-        out += ["\n**Could not be read** (these were not looked up, so they are not known to be missing):", *[f"- {f['barcode']} ({f['reason']}): {f['error']}" for f in r.failed]]
-    found = [p for p in r.products if p["found"]]
-    if not found:
-        return "\n".join([*out, "\nNo products found."])
-    out += ["\n### Scores", "| Product | Barcode | Found | Nutri-Score | NOVA | Eco-Score | Completeness |", "|" + ":--|" * 7]
-    for p in r.products:
-        name = (p["product_name"] + (f" ({p['brands']})" if p.get("brands") else "")) if p.get("product_name") else f"Barcode {p['barcode']}"
-        full = NONE if p.get("completeness") is None else f"{percent(p['completeness'])} ({num(p['completeness'])})"
-        out.append(f"| {name} | {p['barcode']} | {str(p['found']).lower()} | {p.get('nutriscore_grade') or NONE} | {num(p.get('nova_group'))} | {p.get('ecoscore_grade') or NONE} | {full} |")
-    columns = (("energy_kcal_100g", "Energy (kcal)"), ("fat_100g", "Fat (g)"), ("saturated_fat_100g", "Sat. fat (g)"), ("sugars_100g", "Sugars (g)"), ("salt_100g", "Salt (g)"), ("proteins_100g", "Protein (g)"), ("fiber_100g", "Fiber (g)"))
-    out += ["\n### Nutrition per 100g", f"| Product | {' | '.join(t for _, t in columns)} |", "|" + ":--|" * 8]
-    out += [f"| {p.get('product_name') or 'Barcode ' + p['barcode']} | {' | '.join(num(p.get(k)) for k, _ in columns)} |" for p in found]
-    if r.low_completeness:
-        out.append(f"\n*Under 50% complete: {', '.join(r.low_completeness)}; many fields may be missing.*")
-    return "\n".join([*out, "", SOURCE])
+    scores = ("nutriscore_grade", "nova_group", "ecoscore_grade")
+    names = ("barcode", "found", "product_name", "brands", *scores, "completeness")
+    rows = [tuple(_completeness(p.get(n)) if n == "completeness" else p.get(n) for n in names) for p in r.products]
+    nutrients = [(p["barcode"], *[p.get(n) for n in COMPARED]) for p in r.products if p["found"]]
+    failed = [(f["barcode"], f["reason"], f["error"]) for f in r.failed or []]
+    notes = [
+        f"Not found (not entered yet): {', '.join(r.not_found)}" if r.not_found else None,
+        f"Under 50% complete, so many fields may be missing: {', '.join(r.low_completeness)}" if r.low_completeness else None,
+        "Those that could not be read are not known to be missing." if failed else None,
+        SOURCE,
+    ]
+    sheets = [Sheet("Products", names, rows), Sheet("Per 100 g", ("barcode", *COMPARED), nutrients), Sheet("Could not be read", ("barcode", "reason", "error"), failed)]
+    return write(f"{r.succeeded} of {len(r.products) + len(failed)} products found", sheets, notes)
 
 
 def vocabulary(r: VocabularyResult) -> str:
-    out = [f"## {r.facet} ({len(r.tags)} entries" + (f" of {r.total_in_facet}" if r.total_in_facet is not None else "") + ")", ""]
-    if not r.tags:
-        out.append("No entries.")
-    out += [f"- `{t['id']}`: {t['name']}" + (f" (~{t['products']:,} products)" if t.get("products") is not None else "") for t in r.tags]
-    if r.notice:
-        out += ["", f"*{r.notice}*"]
-    return "\n".join([*out, "", "*Use an id exactly as it stands here.*"]) if r.tags else "\n".join(out)
+    counted = any(t.get("products") is not None for t in r.tags)
+    columns = ("id", "name", *(["products"] if counted else []))
+    rows = [(t["id"], t["name"], *([None if t.get("products") is None else f"{t['products']:,}"] if counted else [])) for t in r.tags]
+    title = f"{r.facet}: {len(r.tags)} entries" + (f" of {r.total_in_facet}" if r.total_in_facet is not None else "")
+    return write(title, [Sheet("Entries", columns, rows)], [r.notice, "Ids are used exactly as they stand here." if r.tags else None])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import SparkSession
 
-from pantry.plans.errors import CatalogError
+from pantry.plans.errors import CatalogError, detail_of, reason_of
 
 R = TypeVar("R")
 
@@ -31,8 +34,23 @@ def with_retries(call: Callable[[], R], base: float = 0.5, attempts: int = ATTEM
     raise AssertionError("unreachable")
 
 
-def within(spark: SparkSession, call: Callable[[], R], seconds: float = DEADLINE_S, tag: str = "pantry-deadline") -> R:
-    """Runs a query under a deadline; its Spark jobs are cancelled when it passes."""
+def classified(call: Callable[[], R]) -> R:
+    """Failures of a read as declared errors, by their kind and never by their message."""
+    try:
+        return call()
+    except CatalogError:
+        raise
+    except (AnalysisException, ParseException) as e:
+        raise CatalogError(reason_of(400), detail_of(str(e)) or "the request was refused") from e
+    except TimeoutError as e:
+        raise CatalogError(reason_of(None, timed_out=True), detail_of(str(e)) or "no answer in time") from e
+    except (PySparkException, Py4JJavaError, OSError) as e:
+        raise CatalogError(reason_of(None), detail_of(str(e)) or "the source failed") from e
+
+
+def within(spark: SparkSession, call: Callable[[], R], seconds: float = DEADLINE_S, tag: str | None = None) -> R:
+    """Runs a query under a deadline; its own Spark jobs, and no others, are cancelled when it passes. The same tag cancels it from outside."""
+    tag = tag or f"pantry-{uuid.uuid4().hex}"
 
     def tagged() -> R:
         spark.sparkContext.addJobTag(tag)

@@ -1,7 +1,7 @@
 """Free text: every word must occur; BM25 ranks.
 
-Documents are tokenised once; only tokens of the query are kept, so what is shuffled is a row for each
-matching document. The statistics of the whole corpus (documents, mean length, documents with each token)
+Nothing is split into arrays: a token of the query is counted by a pattern, and so is a text's length, in generated code.
+What is shuffled is one row of totals. The statistics of the whole corpus (documents, mean length, documents with each token)
 are one aggregate.
 """
 
@@ -23,8 +23,12 @@ def terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
 
 
-def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
+_LETTER = r"[\p{L}\p{N}]"
+
+
+def _times(text: Column, term: str) -> Column:
+    """How often a token stands in a lower-cased text. Most texts without it are passed by a plain search."""
+    return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(rf"(?<!{_LETTER}){re.escape(term)}(?!{_LETTER})"))).otherwise(0)
 
 
 def bm25(docs: DataFrame, query: str, spec: CatalogSpec, condition=None) -> DataFrame:
@@ -32,10 +36,10 @@ def bm25(docs: DataFrame, query: str, spec: CatalogSpec, condition=None) -> Data
     wanted = terms(query)
     if not wanted:
         return docs.where(F.lit(False)).withColumn("score", F.lit(None).cast("double"))
-    words = S.tokens(*[F.col(c) for c in spec.text])
-    counted = docs.withColumn("_words", words)
-    own = [_times("_words", t) for t in wanted]
-    counted = counted.select(*docs.columns, F.size("_words").alias("_len"), *[c.alias(f"_tf{i}") for i, c in enumerate(own)])
+    low = F.lower(F.concat_ws(" ", *[F.col(c) for c in spec.text]))
+    counted = docs.withColumn("_low", low)
+    own = [_times(F.col("_low"), t) for t in wanted]
+    counted = counted.select(*docs.columns, F.regexp_count("_low", F.lit(f"{_LETTER}+")).alias("_len"), *[c.alias(f"_tf{i}") for i, c in enumerate(own)])
     totals = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))])
     hits = counted.where(S.all_of([F.col(f"_tf{i}") > 0 for i in range(len(wanted))]))
     if condition is not None:

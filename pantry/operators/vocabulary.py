@@ -54,9 +54,11 @@ def limited(entries: DataFrame, limit: int) -> DataFrame:
     return entries.orderBy(*(["src", "ord", "id"] if "src" in entries.columns else ["ord", "id"])).limit(limit)
 
 
-def more_than(entries: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """The first entries and whether there are others, from one row more than asked for."""
-    return limited(entries, limit), entries.limit(min(limit + 1, MAX_SUGGESTIONS + 1)).count() > limit
+def probed(entries: DataFrame, limit: int) -> tuple[list, bool]:
+    """The first entries and whether there are others, from one row more than asked for; MAX_SUGGESTIONS at most."""
+    limit = min(limit, MAX_SUGGESTIONS)
+    rows = limited(entries, limit + 1).collect()
+    return rows[:limit], len(rows) > limit
 
 
 def with_counts(entries: DataFrame, counts: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def with_counts(entries: DataFrame, counts: DataFrame) -> DataFrame:
 def browse(seed: DataFrame, request: VocabularyRequest, full=None) -> VocabularyResult:
     """full: the full vocabulary (a table, or a function that reads it); when it cannot be read the seed answers and a notice says so."""
     own = seed.where(F.col("facet") == request.facet)
-    term, notice, total = request.term, None, None
+    term, notice, total, shown, more = request.term, None, None, None, False
     if request.facet in CLOSED_FACETS:
         found, total = matching(own, term), own.count()
     elif term is None:
@@ -79,11 +81,13 @@ def browse(seed: DataFrame, request: VocabularyRequest, full=None) -> Vocabulary
             table = full() if callable(full) else full
             if table is not None:
                 found = merged(found, matching(complete(table.where(F.col("facet") == request.facet)), term))
-            matched = found.count()
+            shown, more = probed(found, request.limit)
         except (AnalysisException, OSError, RuntimeError) as e:
             found, notice = matching(own, term), f"The full vocabulary could not be read ({str(e).splitlines()[0][:120]}); these entries come from the sample."
-    matched = found.count()
-    rows = [{k: v for k, v in r.asDict().items() if v is not None and k in ("id", "name", "products")} for r in limited(found, request.limit).collect()]
+    if shown is None:
+        shown, more = probed(found, request.limit)
+    matched = found.count() if more else len(shown)
+    rows = [{k: v for k, v in r.asDict().items() if v is not None and k in ("id", "name", "products")} for r in shown]
     if not matched and notice is None:
         notice = f"No entry of {request.facet} holds “{term}”."
     result = VocabularyResult(request.facet, rows, matched, total, notice)

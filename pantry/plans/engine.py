@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pantry.operators import compare, lookup, render, search, vocabulary
 from pantry.operators.admission import Limiter
-from pantry.plans.errors import CatalogError
+from pantry.operators.resilience import BASE_DELAY_S, classified, with_retries, within
+from pantry.plans.errors import CatalogError, failure
 from pantry.plans.requests import CompareRequest, LookupRequest, SearchRequest, VocabularyRequest
 from pantry.plans.schema import CatalogSpec
+from pantry.sources import products as P
 from pantry.sources.config import Settings
-from pantry.sources.products import read_json
+from pantry.sources.config import settings as from_environment
 from pantry.sources.seed import seed
 
 RENDER = {lookup.LookupResult: render.lookup, search.SearchResult: render.search, compare.CompareResult: render.compare, vocabulary.VocabularyResult: render.vocabulary}
 
 
 class Catalog:
-    """products: raw products; quarantine: records that could not be read; full: the full vocabulary (a table or a function that reads it)."""
+    """products: raw products; quarantine: records that could not be read; full: the full vocabulary (a table, or a function that reads it).
 
-    def __init__(self, products: DataFrame, quarantine: DataFrame | None = None, full=None, index: DataFrame | None = None, spec: CatalogSpec = CatalogSpec(), settings: Settings | None = None, limiter: Limiter | None = None):
-        self.products, self.quarantine, self.full, self.index, self.spec = products, quarantine, full, index, spec
-        s = settings or Settings()
+    Every request runs under the settings' deadline; failures that may pass are tried again with growing pauses.
+    """
+
+    def __init__(self, products: DataFrame, quarantine: DataFrame | None = None, full=None, index: DataFrame | None = None, spec: CatalogSpec = CatalogSpec(), settings: Settings | None = None, limiter: Limiter | None = None, sleep=time.sleep):
+        self.products, self.quarantine, self.full, self.index, self.spec, self.sleep = products, quarantine, full, index, spec, sleep
+        self.settings = s = settings or from_environment()
         self.limiter = limiter or Limiter({"product": s.product, "search": s.search, "vocabulary": s.vocabulary})
         self.seed = seed(products.sparkSession)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, **more) -> "Catalog":
-        products, quarantine = read_json(spark, path)
-        return cls(products, quarantine, **more)
+    def open(cls, spark: SparkSession, path: str | None = None, settings: Settings | None = None, **more) -> "Catalog":
+        """From JSON lines, or from Parquet sorted by key (``write_parquet``), where a look-up reads the row groups of its key only. Without a path the settings name it."""
+        settings = settings or from_environment()
+        path = path or settings.catalog
+        if not path:
+            raise CatalogError("invalid_input", "no catalog is named: give a path or set PANTRY_CATALOG")
+        products, quarantine = P.read_json(spark, path) if P.is_json(path) else (P.read_parquet(spark, path), None)
+        return cls(products, quarantine, settings=settings, **more)
+
+    def _run(self, kind: str, call):
+        spark = self.products.sparkSession
+        return with_retries(lambda: within(spark, lambda: classified(call), self.settings.deadline_s), BASE_DELAY_S[kind], sleep=self.sleep)
 
     def get_product(self, barcode: str, fields: tuple[str, ...] = ()) -> lookup.LookupResult:
         request = LookupRequest(barcode, tuple(fields))
         self.limiter.acquire("product")
-        return lookup.get_product(self.products, request, self.spec)
+        return self._run("product", lambda: lookup.get_product(self.products, request, self.spec))
 
     def search_products(self, **request) -> search.SearchResult:
         asked = SearchRequest(**request)
         asked.check()
         self.limiter.acquire("search")
-        return search.search(self.products, asked, self.spec, self.index)
+        return self._run("search", lambda: search.search(self.products, asked, self.spec, self.index))
 
     def compare_products(self, barcodes: list[str]) -> compare.CompareResult:
         """Each key takes a slot; a key without one failed."""
@@ -51,10 +66,13 @@ class Catalog:
                 self.limiter.acquire("product")
                 keys.append(b)
             except CatalogError as e:
-                refused.append({"barcode": b, "reason": e.reason, "error": f"{e.message}. {e.recovery}"})
+                refused.append(failure(b, e))
         if not keys:
             return compare.CompareResult([], 0, [], refused)
-        result = compare.compare(self.products, _some(keys), self.quarantine, self.spec)
+        try:
+            result = self._run("product", lambda: compare.compare(self.products, _some(keys), self.quarantine, self.spec))
+        except CatalogError as e:  # the one read behind all keys failed
+            result = compare.CompareResult([], 0, [], [failure(b, e) for b in keys])
         if refused:
             result.failed = (result.failed or []) + refused
         return result
@@ -62,17 +80,19 @@ class Catalog:
     def browse_vocabulary(self, facet: str, search: str | None = None, limit: int = 20) -> vocabulary.VocabularyResult:
         request = VocabularyRequest(facet, search, limit)
 
-        def full() -> DataFrame | None:
+        def read() -> DataFrame | None:
             self.limiter.acquire("vocabulary")
+            if self.full is None and self.settings.vocabularies:
+                return P.read_vocabulary(self.products.sparkSession, self.settings.vocabularies, facet)
             return self.full() if callable(self.full) else self.full
 
         def guarded() -> DataFrame | None:
             try:
-                return full()
+                return with_retries(lambda: classified(read), BASE_DELAY_S["vocabulary"], sleep=self.sleep)
             except CatalogError as e:
                 raise RuntimeError(e.message) from e
 
-        return vocabulary.browse(self.seed, request, guarded)
+        return self._run("vocabulary", lambda: vocabulary.browse(self.seed, request, guarded))
 
 
 def _some(keys: list[str]) -> CompareRequest:

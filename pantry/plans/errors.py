@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+from pantry.functions.scalars import HTML
+
 #: reason: (code, whether to try again, what to do)
 CONTRACT: dict[str, tuple[str, bool | None, str]] = {
     "not_found": ("NotFound", None, "Check the barcode, or search by name."),
@@ -34,7 +36,7 @@ class CatalogError(Exception):
 
 def is_html(body: str) -> bool:
     """Whether a body is a rendered page, wherever in it the page begins."""
-    return re.search(r"<(!doctype\s+html|html[\s>])", body, re.I) is not None
+    return re.search(HTML, body) is not None
 
 
 def detail_of(body: str | None) -> str | None:

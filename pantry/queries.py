@@ -14,6 +14,7 @@ from pantry.operators import admission, compare, lookup, paging, search, text, v
 from pantry.plans.requests import LookupRequest, SearchRequest
 from pantry.sources import harness as H
 from pantry.sources import products as P
+from pantry.sources.seed import seed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,7 +23,7 @@ ORACLE_SQL: dict[str, str] = {}
 PART = """
 with p as (select lpad(cast(p_partkey as varchar), 13, '0') as barcode, p_partkey, p_name as product_name, p_brand as brands,
   [lower(replace(p_brand, '#', '-'))] as brands_tags, ['en:' || lower(p_type), 'en:' || split_part(p_name, ' ', 2)] as categories_tags,
-  ['en:' || split_part(p_name, ' ', 1)] as labels_tags, ['en:e' || cast(100 + p_size as varchar)] as additives_tags,
+  ['en:' || split_part(p_name, ' ', 1)] as labels_tags, ['en:allergen-' || cast(p_size % 7 as varchar)] as allergens_tags, ['en:e' || cast(100 + p_size as varchar)] as additives_tags,
   nullif(substr('abcde', 1 + p_size % 6, 1), '') as nutriscore_grade, cast(nullif(p_partkey % 5, 0) as int) as nova_group,
   p_retailprice as price, p_size as size from part)"""
 SUMMARY = "barcode, product_name, brands, nutriscore_grade, cast(nova_group as double) as nova_group, array_to_string(categories_tags, ', ') as categories"
@@ -56,14 +57,14 @@ def key(n: int) -> str:
 
 @query(PART + f" select {SUMMARY}, price from p where barcode = '{key(42)}'")
 def lookup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lookup.point(H.products(spark, sf_dir), LookupRequest(key(42)).barcode, "barcode")
+    rows = lookup.point(H.products(spark, sf_dir, only=LookupRequest(key(42)).barcode), key(42), "barcode")
     return listed(rows.select("barcode", "product_name", "brands", "nutriscore_grade", "nova_group", "categories_tags", "price"))
 
 
 @query(PART + f" select barcode, product_name, nutriscore_grade from p where barcode = '{key(7)}'")
 def lookup_field_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = LookupRequest(key(7), ("product_name", "nutriscore_grade"))
-    return lookup.lookup(H.products(spark, sf_dir), request, H.SPEC)
+    return lookup.lookup(H.products(spark, sf_dir, only=request.barcode), request, H.SPEC)
 
 
 @query(PART + " select barcode, product_name from p where barcode = '9999999999999'")
@@ -99,6 +100,11 @@ def facet_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_rows(spark, sf_dir, labels_tag="en:small")
 
 
+@query(PART + f" select {SUMMARY} from p where list_contains(allergens_tags, 'en:allergen-3') and list_contains(labels_tags, 'en:small')")
+def facet_allergen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facet_rows(spark, sf_dir, allergens_tag="en:allergen-3", labels_tag="en:small")
+
+
 @query(PART + f" select {SUMMARY} from p where list_contains(additives_tags, 'en:e107')")
 def facet_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facet_rows(spark, sf_dir, additives_tag="en:e107")
@@ -108,8 +114,9 @@ def facet_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
   join nation on s_nationkey = n_nationkey where lower(replace(n_name, ' ', '-')) = (select lower(replace(n_name, ' ', '-')) from nation where n_nationkey = 7))""")
 def facet_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the tag index: a semi-join with the keys of one tag."""
-    tag = H.table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.concat(F.lit("en:"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))))).first()[0]
-    return summary(P.by_tags(H.products(spark, sf_dir), H.country_index(spark, sf_dir), {"country": tag}, H.SPEC))
+    tag = H.table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.concat(F.lit("en:"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))).alias("tag"))
+    keys = H.country_index(spark, sf_dir).join(F.broadcast(tag), "tag", "left_semi").select(F.col("key").alias("barcode"))  # tag is one row
+    return summary(H.products(spark, sf_dir).join(keys, "barcode", "left_semi"))
 
 
 @query(PART + f" select {SUMMARY} from p where nutriscore_grade = 'b'")
@@ -222,6 +229,25 @@ def compare_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("succeeded"))))
 
 
+#: A key in the quarantine is neither found nor missing.
+_BAD = "bad(barcode, reason, error) as (values ('0000000000003', 'upstream_timeout', 'late'), ('0000000000011', 'upstream_error', 'It broke.'))"
+
+
+@query(PART + f", {_ASKED}, {_BAD} select cast(pos as bigint) as pos, a.barcode, case when bad.barcode is not null then 'failed' when p.barcode is not null then 'found' else 'not_found' end as outcome, reason, case when regexp_matches(error, '[.!?]$') then error else error || '.' end as error from a left join p using (barcode) left join bad on bad.barcode = a.barcode")
+def compare_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = spark.createDataFrame([("0000000000003", "upstream_timeout", "late"), ("0000000000011", "upstream_error", "It broke.")], "code string, reason string, error string")
+    rows = H.products(spark, sf_dir).select(F.col("barcode").alias("code"), "product_name")
+    return compare.outcomes(rows, KEYS, bad).select("pos", "barcode", "outcome", "reason", "error")
+
+
+@query(f"""with {_ASKED}, r as (select lpad(cast(p_partkey as varchar), 13, '0') as barcode, p_name, p_brand, p_retailprice as q, p_size as s from part)
+  select cast(pos as bigint) as pos, a.barcode, r.barcode is not null as found, p_name as product_name, p_brand as brands, q as energy_kcal_100g, cast(null as double) as fat_100g, q / 4 as saturated_fat_100g, cast(case when s % 2 = 0 then s end as double) as sugars_100g, cast(s as double) as salt_100g from a left join r using (barcode)""")
+def compare_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of a comparison: nutrients that are numbers, absent when they are text or not there."""
+    rows = compare.compare_rows(H.raw_products(spark, sf_dir), KEYS)
+    return rows.select("pos", "barcode", "found", "product_name", "brands", "energy_kcal_100g", "fat_100g", "saturated_fat_100g", "sugars_100g", "salt_100g")
+
+
 _SHARE = "(case when nutriscore_grade is null then 0 else 1 end + case when nova_group is null then 0 else 1 end + case when size % 4 = 0 then 0 else 1 end + case when size % 3 = 0 then 0 else 1 end) / 4.0"
 
 
@@ -242,6 +268,40 @@ def percent_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("barcode", S.percent(F.col("completeness") * F.col("price") / 2000).alias("percent"))
 
 
+@query(PART + f", q as (select *, {_SHARE} as completeness from p) select product_name, barcode, cast(completeness as double) as completeness from q where completeness < 0.5")
+def compare_low_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those that a comparison warns of."""
+    return compare.sparse(completeness(H.products(spark, sf_dir)).withColumn("completeness", F.col("completeness").cast("double"))).select("product_name", "barcode", "completeness")
+
+
+@query("""with r as (select lpad(cast(p_partkey as varchar), 13, '0') as barcode, p_name, p_brand, p_type, p_retailprice as q, p_size as s, p_partkey as k from part)
+  select barcode, p_name as product_name, p_brand as brands, cast(s as varchar) || ' pieces' as quantity, case when s % 4 > 0 then p_type end as ingredients_text, case when s % 3 > 0 then s % 3 end as n_ingredients,
+    'en:a, en:b' as allergens, case when s % 2 = 0 then 'en:e100' when s % 5 > 0 then '' end as additives, case when s % 6 < 5 then substr('abcde', 1 + s % 6, 1) end as nutriscore_grade, cast(nullif(k % 5, 0) as double) as nova_group, cast(null as varchar) as ecoscore_grade,
+    q as energy_kcal_100g, q / 4 as saturated_fat_100g, case when s % 2 = 0 then '30 g' end as serving_size, case when s % 3 = 0 then cast(30.5 as double) end as serving_quantity, case when s % 3 = 0 then 'g' end as serving_quantity_unit,
+    lower(p_type) as categories, cast(null as varchar) as labels, '' as packaging, 'x' as origins, cast(null as varchar) as image_url, cast(s as double) / 100 as completeness, 'en:checked' as data_quality from r""")
+def default_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 21 fields of every product, lists and nested members in short."""
+    rows = H.raw_products(spark, sf_dir).select(F.col("code").alias("barcode"), *nutrients.product())
+    lists = {"allergens": "allergens_tags", "additives": "additives_tags", "categories": "categories_tags", "labels": "labels_tags", "packaging": "packaging_tags", "origins": "origins_tags", "data_quality": "data_quality_tags"}
+    plain = ("product_name", "brands", "quantity", "ingredients_text", "nutriscore_grade", "ecoscore_grade", "serving_size", "serving_quantity", "serving_quantity_unit", "image_url", "completeness")
+    return rows.select("barcode", *plain, F.col("nova_group").cast("double").alias("nova_group"), F.size("ingredients").cast("double").alias("n_ingredients"), F.col("nutriments.energy_kcal_100g"), F.col("nutriments.saturated_fat_100g"), *[S.joined(F.col(c)).alias(n) for n, c in lists.items()])
+
+
+@query("""with r as (select lpad(cast(p_partkey as varchar), 13, '0') as barcode, p_type, p_size as s, unnest(range(p_size % 3)) as i from part)
+  select barcode, cast(i as bigint) as pos, case when i = 0 then 'en:' || lower(p_type) end as id, case when i = 0 then p_type else '' end as text, cast(s as double) / 2 as percent_estimate, case when i = 0 then 'yes' end as vegan from r""")
+def ingredient_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing text is empty, other empty members are absent, an empty list has no rows."""
+    made = H.raw_products(spark, sf_dir).select(F.col("code").alias("barcode"), F.posexplode(nutrients.ingredients(F.col("ingredients"))).alias("pos", "i"))
+    return made.select("barcode", F.col("pos").cast("long").alias("pos"), "i.id", "i.text", "i.percent_estimate", "i.vegan")
+
+
+@query(r"""select lpad(cast(p_partkey as varchar), 13, '0') as barcode, format('{:,}', cast(floor(p_retailprice) as bigint) * 1000) as price, url_encode(p_name) as component, case when p_size % 2 = 0 then p_name || '!' else p_name || '.' end as said from part""")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    said = S.sentence(F.when(F.col("p_size") % 2 == 0, F.concat(name, F.lit("!"))).otherwise(name))
+    return H.table(spark, sf_dir, "part").select(H.barcode("p_partkey").alias("barcode"), S.thousands(F.floor("p_retailprice").cast("long") * 1000).alias("price"), S.url_component(name).alias("component"), said.alias("said"))
+
+
 # Nutrients, JSON -----------------------------------------------------------------------------------------
 
 
@@ -295,9 +355,11 @@ def brand_join_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.table(spark, sf_dir, "part").groupBy("p_type").agg(S.joined(F.sort_array(F.collect_set("p_brand"))).alias("brands"))
 
 
-@query(r"""select doc_id, regexp_replace(substr(text, 1, 60), '([+\-=&|><!(){}\[\]^"~*?:\\/])', '\\\1', 'g') as escaped, regexp_matches(text, '[.!?]$') as ends from documents""")
+@query(r"""select doc_id, sha256(regexp_replace(text, '([+\-=&|><!(){}\[\]^"~*?:\\/])', '\\\1', 'g')) as escaped_sha256, cast(length(regexp_replace(text, '([+\-=&|><!(){}\[\]^"~*?:\\/])', '\\\1', 'g')) as bigint) as escaped_chars, regexp_matches(text, '[.!?]$') as ends from documents""")
 def query_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.table(spark, sf_dir, "documents").select("doc_id", S.escape_query(F.substring("text", 1, 60)).alias("escaped"), F.col("text").rlike("[.!?]$").alias("ends"))
+    """Whole texts are escaped; their digests and lengths are returned."""
+    escaped = S.escape_query(F.col("text"))
+    return H.table(spark, sf_dir, "documents").select("doc_id", F.sha2(escaped, 256).alias("escaped_sha256"), F.length(escaped).cast("long").alias("escaped_chars"), F.col("text").rlike("[.!?]$").alias("ends"))
 
 
 # Vocabulary ----------------------------------------------------------------------------------------------
@@ -343,12 +405,18 @@ def vocab_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.new_entries(sample_vocabulary(spark), live_vocabulary(spark, sf_dir)).select("id", "name")
 
 
-@query(PART + ", t as (select 'category' as facet, unnest(list_distinct(categories_tags)) as tag from p union all select 'label', unnest(labels_tags) from p union all select 'brand', unnest(brands_tags) from p union all select 'additive', unnest(additives_tags) from p), c as (select facet, tag, count(*) as products from t group by all) select *, cast(sum(products) over (partition by facet) as bigint) as total_in_facet from c")
+@query(PART + ", t as (select 'category' as facet, unnest(list_distinct(categories_tags)) as tag from p union all select 'label', unnest(labels_tags) from p union all select 'brand', unnest(brands_tags) from p union all select 'allergen', unnest(allergens_tags) from p union all select 'additive', unnest(additives_tags) from p), c as (select facet, tag, count(*) as products from t group by all) select *, cast(sum(products) over (partition by facet) as bigint) as total_in_facet from c")
 def vocab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = P.tag_counts(P.tag_index(H.products(spark, sf_dir), H.SPEC))
     return counts.join(counts.groupBy("facet").agg(F.sum("products").alias("total_in_facet")), "facet")
 
 
+@query("select * from (values ('categories', 79), ('labels', 30), ('allergens', 27), ('additives', 44), ('countries', 30), ('nova_groups', 4), ('nutrition_grades', 5)) t(facet, total_in_facet)")
+def vocab_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries a facet of the built-in vocabulary."""
+    return seed(spark).groupBy("facet").agg(F.count(F.lit(1)).cast("int").alias("total_in_facet"))
+
+
 # State ---------------------------------------------------------------------------------------------------
 
 
@@ -363,13 +431,24 @@ def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if("admitted").alias("admitted"))
 
 
+@query("""with recursive e as (select user_id, event_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+  r as (select user_id, event_id, rn, [t] as live, cast(null as bigint) as wait from e where rn = 1
+    union all select user_id, event_id, rn, case when len(f) < 2 then list_append(f, t) else f end, case when len(f) < 2 then null else greatest(1, cast(ceil((f[1] + 3600000000 - t) / 1000000.0) as bigint)) end
+    from (select r.user_id, e.event_id, e.rn, e.t, list_filter(r.live, lambda x: x >= e.t - 3600000000) as f from r join e on e.user_id = r.user_id and e.rn = r.rn + 1))
+  select event_id, cast(wait as double) as retry_after_s from r""")
+def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every request the seconds until one would be admitted; none for those admitted."""
+    events = H.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return admission.verdicts(events, "user_id", "ts", "event_id", 2, 3600).select("event_id", F.col("retry_after_s").cast("double").alias("retry_after_s"))
+
+
 # Mirror --------------------------------------------------------------------------------------------------
 
 
 @query("""with c as (select p_partkey as id, p_name as name, cast(1 as bigint) as version from part where p_partkey % 3 <> 0), n as (select p_partkey as id, upper(p_name) as name, cast(p_partkey % 3 as bigint) as version, p_partkey % 7 = 0 as gone from part where p_partkey % 2 = 0),
   u as (select *, false as gone, 0 as src from c union all select *, 1 from n), r as (select *, row_number() over (partition by id order by version desc, src desc) as k from u) select id, name, version from r where k = 1 and not gone""")
 def mirror_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pantry.operators.workspace import upserted
+    from pantry.operators.mirror import upserted
 
     part = H.table(spark, sf_dir, "part")
     current = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit(1).cast("long").alias("version"))

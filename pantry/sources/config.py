@@ -12,12 +12,14 @@ _NAMES = {"product": "PANTRY_RATE_LIMIT_PRODUCT", "search": "PANTRY_RATE_LIMIT_S
 
 @dataclass(frozen=True)
 class Settings:
-    """Requests a minute of each class, and where the catalog lies."""
+    """Requests a minute of each class, where the catalog and the full vocabularies lie, and how long a request may take."""
 
     product: int = 15
     search: int = 10
     vocabulary: int = 10
     catalog: str | None = None
+    vocabularies: str | None = None
+    deadline_s: float = 15.0
 
     def __post_init__(self) -> None:
         for name in _NAMES:
@@ -28,7 +30,7 @@ class Settings:
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Settings":
         env = dict(os.environ) if env is None else env
-        out: dict[str, object] = {"catalog": env.get("PANTRY_CATALOG") or None}
+        out: dict[str, object] = {"catalog": env.get("PANTRY_CATALOG") or None, "vocabularies": env.get("PANTRY_VOCABULARIES") or None}
         for field, name in _NAMES.items():
             if env.get(name, "").strip():
                 try:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pantry.functions import scalars as S
-from pantry.plans.schema import RAW_PRODUCT, CatalogSpec
+from pantry.plans.schema import RAW_PRODUCT, VOCABULARY, VOCABULARY_NAMES, CatalogSpec
 
 
 def read_json(spark: SparkSession, path: str, spec: CatalogSpec = CatalogSpec()) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +28,16 @@ def read_json(spark: SparkSession, path: str, spec: CatalogSpec = CatalogSpec())
     return products.select(*[f.name for f in RAW_PRODUCT.fields]), bad.withColumn(spec.key, S.absent_if_empty(F.col(spec.key)))
 
 
+def read_vocabulary(spark: SparkSession, folder: str, facet: str) -> DataFrame | None:
+    """The full vocabulary of a facet, from the Parquet folder that bears its name; none for closed facets."""
+    name = VOCABULARY_NAMES.get(facet)
+    return spark.read.schema(VOCABULARY).parquet(f"{folder}/{name}") if name else None
+
+
+def is_json(path: str) -> bool:
+    return path.endswith((".json", ".jsonl", ".ndjson", ".json.gz", ".jsonl.gz"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -40,7 +40,7 @@ def test_compare_keeps_order_repeats_and_misses(products):
     assert r.products[1] == {"barcode": "99999999", "found": False}
     assert r.products[2] == {"barcode": "10000001", "found": True, "product_name": "A", "brands": "X", "nutriscore_grade": "e", "nova_group": 4, "completeness": 0.85, "energy_kcal_100g": 539, "fat_100g": 30.9, "sugars_100g": 56.3}
     text = to_text(r)
-    assert "(3/4 found)" in text and "| N/A |" in text and "Under 50% complete: B" in text and "| A | 539 | 30.9 | N/A | 56.3 |" in text
+    assert "3 of 4 products found" in text and "Under 50% complete, so many fields may be missing: B" in text and "| 10000001 | 539 | 30.9 | N/A | 56.3 |" in text and "| 99999999 | false | N/A |" in text
 
 
 def test_compare_failed_is_neither_found_nor_missing(spark, products):
@@ -48,7 +48,7 @@ def test_compare_failed_is_neither_found_nor_missing(spark, products):
     r = compare.compare(products, CompareRequest(("10000009", "10000003", "10000001", "99999999")), bad)
     assert r.failed == [{"barcode": "10000009", "reason": "upstream_error", "error": "broken"}, {"barcode": "10000001", "reason": "upstream_timeout", "error": "late"}]
     assert [p["barcode"] for p in r.products] == ["10000003", "99999999"] and r.not_found == ["99999999"] and r.succeeded == 1
-    assert r.products[0] == {"barcode": "10000003", "found": True} and "(1/4 found)" in to_text(r)
+    assert r.products[0] == {"barcode": "10000003", "found": True} and "1 of 4 products found" in to_text(r) and "| 10000001 | upstream_timeout | late |" in to_text(r)
 
 
 @pytest.mark.parametrize("n", [1, 11])
@@ -96,7 +96,7 @@ def test_vocabulary(spark):
     assert len(r.tags) == 3 and "no such host" in r.notice
     r = ask("labels", "nothing", full=lambda: spark.read.parquet("/nowhere/at/all"))
     assert r.tags == [] and "could not be read" in r.notice
-    assert "`en:milk`: Milk" in to_text(ask("allergens", "milk")) and "of 4" in to_text(ask("nova_groups"))
+    assert "| en:milk | Milk |" in to_text(ask("allergens", "milk")) and "of 4" in to_text(ask("nova_groups"))
     for bad in (("colours", None, 5), ("labels", None, 0), ("labels", None, 101)):
         with pytest.raises(CatalogError):
             VocabularyRequest(*bad)
@@ -226,8 +226,60 @@ def test_workspace(spark, tmp_path):
     assert ws.describe() == {}
     with pytest.raises(CatalogError):
         ws.query("select * from a")
-    assert workspace.spill([{"a": 1}] * 5, 17) == ([{"a": 1}] * 2, False)
-    assert [r[0] for r in workspace.filtered(spark.range(10), [("id", "gte", 3), ("id", "in", [1, 4, 5]), ("id", "ne", 5)]).collect()] == [4]
+    frame = spark.createDataFrame([(1,)] * 5, "a int")
+    assert ws.spill("everything", frame, 17) == ([{"a": 1}] * 2, "everything")
+    assert ws.query("select count(*) as n from everything").rows == [{"n": 5}] and ws.spill("little", frame, 100) == ([{"a": 1}] * 5, None)
+
+
+def test_workspace_gate_reads_the_tree(spark):
+    ws = workspace.Workspace(spark, "gate")
+    ws.register("a", [{"x": i} for i in range(150)] + [{"x": 1, "late": "here"}])
+    assert ws.query("select late from a where late is not null").rows == [{"late": "here"}]  # a column that first comes late
+    spark.range(3).createOrReplaceTempView("secret")
+    for bad in (
+        "select * from secret", "select * from secret /* secret as ( */", "select 'secret as (' from secret", "select x from a where exists (with secret as (select 1) select * from secret) and x in (select id from secret)",
+        "with b as (select * from secret) select * from b", "select (select max(id) from secret) from a", "select * from a join lateral (select * from secret)", "select try_reflect('java.lang.System', 'getenv', 'x') from a",
+        "select * from read_files('/root')", "from secret select id", "with b as (select * from c), c as (select 1) select * from b",
+    ):
+        with pytest.raises(CatalogError):
+            ws.query(bad)
+    for good in ("with b as (select x from a), c as (select x from b) select count(*) from c", "select x, sum(x) over (order by x) from a union all select 1, 2", "select * from range(3)", "select A.x from A where x in (select x from a)", "select x from a lateral view explode(array(1, 2)) t as y", "with secret as (select 1 as id) select * from secret", "select x, count(*) from a group by x having count(*) > 1 order by 2 desc limit 3"):
+        assert ws.query(good).rows
+    spark.range(7).createOrReplaceTempView("a")  # a view of the caller's with a table's name stays theirs
+    assert len(ws.query("select * from a").rows) == 151 and spark.table("a").count() == 7
+    spark.catalog.dropTempView("a")
+
+
+def test_mirror(spark, tmp_path):
+    from pantry.operators import mirror
+    from pantry.plans.schema import CatalogSpec
+
+    assert [r[0] for r in mirror.filtered(spark.range(10), [("id", "gte", 3), ("id", "in", [1, 4, 5]), ("id", "ne", 5)]).collect()] == [4]
+    log = [(1, "red apple", 1, False), (2, "green apple", 2, False), (3, "pear", 3, False), (1, "red apples", 4, False), (3, None, 5, True), (4, "apple apple", 6, False)]
+    folder, upto = str(tmp_path / "mirror"), 3
+
+    def changes(cursor):
+        return spark.createDataFrame([r for r in log if (cursor or 0) < r[2] <= upto], "code long, name string, version long, gone boolean")
+
+    assert mirror.sync(spark, folder, changes, "code", "version", "gone") == (1, 3) and mirror.read(spark, folder).count() == 3
+    assert mirror.sync(spark, folder, changes, "code", "version", "gone") == (1, 3)  # nothing new, nothing written
+    upto = 6
+    assert mirror.sync(spark, folder, changes, "code", "version", "gone") == (2, 6)
+    spec = CatalogSpec(key="code", text=("name",))
+    rows = mirror.read(spark, folder)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "red apples", 4), (2, "green apple", 2), (4, "apple apple", 6)]
+    assert [r["code"] for r in mirror.selected(rows, spec, match="Apple").collect()] == [4, 2]
+    assert [r["code"] for r in mirror.selected(rows, spec, filters=[("version", "gt", 2)], sort="version", descending=True, limit=1, offset=1).collect()] == [1]
+    with pytest.raises(CatalogError):
+        mirror.read(spark, str(tmp_path / "none"))
+
+
+def test_full_vocabulary_by_name(spark, products, tmp_path):
+    live(spark, [("labels", 0, "en:organic-y", "Organic y")]).write.parquet(str(tmp_path / "label"))
+    c = Catalog(products, settings=Settings(vocabularies=str(tmp_path), deadline_s=120), sleep=lambda s: None)
+    assert "en:organic-y" in {t["id"] for t in c.browse_vocabulary("labels", "organic").tags}
+    assert "could not be read" in c.browse_vocabulary("categories", "organic").notice
+    assert c.browse_vocabulary("nova_groups", "1").notice is None
 
 
 def test_index_and_files(spark, products, tmp_path):

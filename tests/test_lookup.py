@@ -12,7 +12,7 @@ from pantry.plans.requests import LookupRequest
 from pantry.plans.schema import PRODUCT_FIELDS
 from pantry.sources.config import Settings
 
-WIDE = Settings(product=1000, search=1000, vocabulary=1000)
+WIDE = Settings(product=1000, search=1000, vocabulary=1000, deadline_s=120)
 
 PRODUCTS = [
     {"code": "3017620422003", "product_name": "Spread", "brands": "Ferrero", "quantity": "400g", "nutriscore_grade": "e", "nova_group": 4, "ecoscore_grade": "c", "completeness": 0.85, "data_quality_tags": ["en:checked"],
@@ -95,19 +95,25 @@ def test_field_subset(catalog):
     r = catalog.get_product("3017620422003", ("nutriscore_grade", "product_name"))
     assert r.requested_fields == ("nutriscore_grade", "product_name") and r.product == {"nutriscore_grade": "e", "product_name": "Spread"}
     text = to_text(r)
-    assert "**Nutrition:** Not requested" in text and "**Ingredients:** Not requested" in text and "**Allergens:** Not requested" in text and "Not available" not in text
+    assert all(f"| {name} | Not requested |" in text for name in ("nutriments", "ingredients_text", "allergens_tags")) and "Not available" not in text and "Not entered" not in text
+    assert "Only these fields were requested: nutriscore_grade, product_name." in text and "| brands |" not in text
     assert "nutriments" not in to_dict(r)["product"]
 
 
 def test_rendering(catalog):
     text = to_text(catalog.get_product("5202336064700"))
-    assert text.count("\n- item") == 23 and "~56.85%" in text and "~9.375%" in text and "79% (exactly 0.7875, moderate)" in text and "vegan: maybe" in text
+    assert text.count("\n| item") == 23 and "| 56.85 |" in text and "| 9.375 |" in text and "| completeness | 79% (0.7875, moderate) |" in text and "| item 0 | en:i0 | 9.375 | maybe | N/A |" in text
     assert all(f"en:c{i}" in text for i in range(6))
     text = to_text(catalog.get_product("0028400157827"))
-    assert "**Serving size:** 28 g (parsed: 28 g)" in text and "per serving (28 g)" in text and "  - folates: 0.000086 g" in text
+    assert "| serving_size | 28 g |" in text and "| serving_quantity | 28 g |" in text and "| folates | 0.000086 g | N/A |" in text and "| energy_kcal | 571 kcal | 160 kcal |" in text
     text = to_text(catalog.get_product("7777777777777"))
-    assert "No serving size is recorded" in text
-    assert "**Nutrition:** Not available" in to_text(catalog.get_product("9999999999999")) and "Not entered" in to_text(catalog.get_product("9999999999999"))
+    assert "No serving size is recorded" in text and "| saturated_fat | 5.36 g | 1.5 g |" in text
+    text = to_text(catalog.get_product("9999999999999"))
+    assert "| nutriments | Not available |" in text and "| ingredients_text | Not available |" in text and "| allergens_tags | Not entered" in text and "No serving size" not in text
+
+
+def test_cells_keep_rows_whole():
+    assert [render.cell(x) for x in (None, "", True, 1.0, ["a", "b|c"], [], "x\ny|z")] == ["N/A", "N/A", "true", "1", "a, b\\|c", "N/A", "x<br>y\\|z"]
 
 
 @pytest.mark.parametrize(("x", "text"), [(539.0, "539"), (0.000086, "0.000086"), (0.1, "0.1"), (None, "N/A"), (4, "4"), (8.6e-5, "0.000086"), (1.5e-7, "0.00000015"), (30.9, "30.9")])
@@ -139,3 +145,48 @@ def test_pushdown(spark, small, tmp_path):
     plan = lookup.lookup(spark.read.parquet(str(tmp_path / "p")), LookupRequest("00000042", ("product_name",)), harness.SPEC)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(barcode,00000042)" in plan and "ReadSchema: struct<barcode:string,product_name:string>" in plan
     assert render.percent(0.785) == "79%"
+
+
+def test_catalog_from_parquet_and_settings(spark, catalog, tmp_path, monkeypatch):
+    from pantry.sources import config
+    from pantry.sources import products as P
+
+    P.write_parquet(catalog.products, str(tmp_path / "catalog"))
+    monkeypatch.setattr(config, "_settings", Settings.from_env({"PANTRY_CATALOG": str(tmp_path / "catalog"), "PANTRY_RATE_LIMIT_PRODUCT": "2"}))
+    own = Catalog.open(spark)
+    assert own.get_product("3017620422003").product == get(catalog, "3017620422003")
+    own.get_product("9999999999999", ("product_name",))
+    with pytest.raises(CatalogError) as e:
+        own.get_product("9999999999999")
+    assert e.value.reason == "rate_limited"
+    plan = lookup.lookup(own.products, LookupRequest("00000042", ("product_name",)))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(code,00000042)" in plan and "ReadSchema: struct<code:string,product_name:string>" in plan
+    monkeypatch.setattr(config, "_settings", Settings())
+    with pytest.raises(CatalogError):
+        Catalog.open(spark)
+
+
+def test_engine_tries_again_and_gives_up(catalog, monkeypatch):
+    waits, calls = [], []
+    own = Catalog(catalog.products, settings=WIDE, sleep=waits.append)
+
+    def broken(*_):
+        calls.append(1)
+        raise OSError("no route")
+
+    monkeypatch.setattr("pantry.operators.lookup.get_product", broken)
+    with pytest.raises(CatalogError) as e:
+        own.get_product("3017620422003")
+    assert e.value.reason == "upstream_error" and len(calls) == 4 and waits == [0.5, 1.0, 2.0]
+    monkeypatch.setattr("pantry.operators.compare.compare", broken)
+    r = own.compare_products(["3017620422003", "9999999999999"])
+    assert [f["reason"] for f in r.failed] == ["upstream_error"] * 2 and r.products == [] and len(calls) == 8
+
+    def refused(*_):
+        calls.append(1)
+        raise CatalogError("not_found", "none")
+
+    monkeypatch.setattr("pantry.operators.lookup.get_product", refused)
+    with pytest.raises(CatalogError):
+        own.get_product("3017620422003")
+    assert len(calls) == 9

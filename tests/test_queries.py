@@ -40,7 +40,7 @@ def test_query(spark, small, duck, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_without_the_training_data_operators(monkeypatch):

@@ -118,7 +118,7 @@ def result(total, shown, page, size, lower=False):
 
 def test_notices():
     r = _explained(result(5, 0, 9, 5), True)
-    assert "query:  x , brand: b" in r.notice and not r.truncated and "No products found** (total: 5)" in to_text(r)
+    assert "query:  x , brand: b" in r.notice and not r.truncated and "No products found (total: 5)" in to_text(r)
     r = _explained(result(132_650, 20, 1, 20), True)
     assert r.truncated and "500" in r.notice and "6633 in all" in r.notice and "next page" in r.notice
     r = _explained(result(10_000, 20, 500, 20, True), True)
