@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,17 @@ from pantry.llm import vocab
 IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 START, END = 60000, 60001  # reserved: above every id of the vocabularies in use
 LOSS_ROLE = "assistant"
+_CONTROL, _MORE = r"<(\\*)\|", r"<\\\1|"
 _BACK = re.compile(r"<\\(\\*)\|")
 
 
 def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text) if "<" in text else text
+    return re.sub(_CONTROL, _MORE, text) if "<" in text else text
+
+
+def escaped(texts: pa.Array) -> pa.Array:
+    """The same for a column."""
+    return pc.replace_substring_regex(texts.cast(pa.large_string()), _CONTROL, _MORE)
 
 
 def unescape(text: str) -> str:
@@ -54,14 +61,13 @@ def formatted(turns: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
         encoder = vocab.encoder(vocabulary)
         if encoder.model.get_vocab_size() > START:
             raise ValueError("the vocabulary has the reserved ids itself")
+        tail, _ = encoder.encode(*T.view(pa.array(["\n"])))
+        newline, nothing = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
         for batch in batches:
             for part in T.slices(batch):
                 n = part.num_rows
-                roles = [escape(x) for x in part.column("role").to_pylist()]
-                heads = pa.array([x + "\n" for x in roles])
-                head, head_ranges = encoder.encode(*T.view(heads))
-                body, body_ranges = encoder.encode(*T.view(pa.array([escape(x) for x in part.column("text").to_pylist()])))
-                tail, _ = encoder.encode(*T.view(pa.array(["\n"])))
+                head, head_ranges = encoder.encode(*T.view(pc.binary_join_element_wise(escaped(part.column("role")), newline, nothing)))
+                body, body_ranges = encoder.encode(*T.view(escaped(part.column("text"))))
                 h, b = np.diff(head_ranges), np.diff(body_ranges)
                 sizes = np.stack([np.ones(n, np.int64), h, b, np.ones(n, np.int64), np.full(n, len(tail))], 1)
                 place = np.concatenate(([0], np.cumsum(sizes)))[:-1].reshape(n, 5)  # prefix sums over all segments
@@ -72,7 +78,7 @@ def formatted(turns: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
                 out[T.ragged(place[:, 2], b)] = body
                 out[place[:, 3]] = END
                 out[T.ragged(place[:, 4], sizes[:, 4])] = np.tile(tail, n)
-                loss = np.array([x == LOSS_ROLE for x in part.column("role").to_pylist()])
+                loss = pc.equal(part.column("role"), LOSS_ROLE).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("conv_id"), part.column("turn"), part.column("role"), part.column("h"), pa.array(np.diff(ranges)), T.blobs(out, ranges), pa.array(place[:, 2] - place[:, 0]), pa.array(np.where(loss, b, 0))],
                     ["conv_id", "turn", "role", "h", "n_ids", "ids", "loss_from", "loss_ids"],
@@ -93,27 +99,41 @@ class _Digest:
         self.conv, self.n_turns, self.loss_chars, self.formatted_chars = conv, 0, 0, 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, model, ids: np.ndarray, loss_from: int, loss_ids: int) -> None:
-        starts, ends = np.flatnonzero(ids == START), np.flatnonzero(ids == END)
-        if len(starts) != 1 or len(ends) != 1 or starts[0] != 0:
-            raise ValueError("a turn is not framed by its control tokens")
-        written = model.decode(ids[1 : ends[0]].tolist(), skip_special_tokens=False)
+    def add(self, written: str, tail: str, masked: str) -> None:
         role, _, body = written.partition("\n")
-        tail = model.decode(ids[ends[0] + 1 :].tolist(), skip_special_tokens=False)
         self.n_turns += 1
         self.formatted_chars += len(IM_START) + len(written) + len(IM_END) + len(tail)
         self.turns.update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-        if loss_ids:
-            masked = unescape(model.decode(ids[loss_from : loss_from + loss_ids].tolist(), skip_special_tokens=False))
-            self.loss_chars += len(masked)
-            self.loss.update(masked.encode())
+        if masked:
+            own = unescape(masked)
+            self.loss_chars += len(own)
+            self.loss.update(own.encode())
+
+
+def _turns(encoder: vocab.UnitEncoder, part: pa.RecordBatch) -> Iterator[tuple[str, str, str, int]]:
+    """What stands between the control tokens of each turn, behind them and under its loss mask, and its number of ids."""
+    column = part.column("ids").cast(pa.large_binary())
+    ranges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    ids = np.frombuffer(column.buffers()[2], np.uint32)[ranges[0] : ranges[-1]]
+    ranges = ranges - ranges[0]
+    ends = np.flatnonzero(ids == END)
+    if not np.array_equal(np.flatnonzero(ids == START), ranges[:-1]) or not np.array_equal(np.searchsorted(ends, ranges), np.arange(len(ranges))):
+        raise ValueError("a turn is not framed by its control tokens")
+    ordinary = np.ones(len(ids), bool)
+    ordinary[ranges[:-1]] = ordinary[ends] = False
+    data, own = encoder.decode(ids[ordinary])
+    at = own[np.concatenate(([0], np.cumsum(ordinary)))]  # the byte at which each id begins
+    loss = ranges[:-1] + part.column("loss_from").to_numpy()
+    bounds = np.stack([at[ranges[:-1] + 1], at[ends], at[ends + 1], at[ranges[1:]], at[loss], at[loss + part.column("loss_ids").to_numpy()]], 1)
+    for (a, b, c, d, e, f), n in zip(bounds.tolist(), np.diff(ranges).tolist()):
+        yield data[a:b].decode(), data[c:d].decode(), data[e:f].decode(), n
 
 
 def read_back(assembled: DataFrame, vocabulary: str) -> DataFrame:
     """One row a conversation from its ids: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = vocab.encoder(vocabulary).model
+        encoder = vocab.encoder(vocabulary)
         now, n_ids, done = None, 0, []
 
         def row() -> tuple:
@@ -125,14 +145,14 @@ def read_back(assembled: DataFrame, vocabulary: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate(kinds)], names)
 
         for batch in batches:
-            for conv, ids, a, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "loss_from", "loss_ids"))):
-                if now is None or now.conv != conv:
-                    if now is not None:
-                        done.append(row())
-                    now, n_ids = _Digest(conv), 0
-                own = np.frombuffer(ids, np.uint32)
-                now.add(model, own, a, n)
-                n_ids += len(own)
+            for part in T.slices(batch, "ids", 4 * T.CHUNK_BYTES):
+                for conv, (written, tail, masked, n) in zip(part.column("conv_id").to_pylist(), _turns(encoder, part)):
+                    if now is None or now.conv != conv:
+                        if now is not None:
+                            done.append(row())
+                        now, n_ids = _Digest(conv), 0
+                    now.add(written, tail, masked)
+                    n_ids += n
             if done:
                 yield flush()
                 done.clear()

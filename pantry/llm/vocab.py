@@ -11,6 +11,8 @@ two units with one hash get each its own ids. The table belongs to the worker pr
 from __future__ import annotations
 
 import os
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 
@@ -19,6 +21,7 @@ from pantry.llm import text as T
 CACHE_UNITS = 1_500_000
 _encoders: dict[tuple[str, bool], "UnitEncoder"] = {}
 
+
 def piece_encoder(path: str) -> "PieceEncoder":
     """The worker's encoder for a sentencepiece model."""
     if (path, True) not in _encoders:
@@ -60,6 +63,23 @@ class UnitEncoder:
         self.raw = np.zeros(0, np.uint8)  # the units' bytes, and where each begins
         self.raw_starts = np.zeros(1, np.int64)
 
+    @cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids of a byte-level vocabulary back to back, and the range of each id."""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the alphabet of such vocabularies: these bytes stand for themselves
+        rest = [b for b in range(256) if b not in plain]  # and these, in order, for the characters from 256 on
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        token = [b""] * self.model.get_vocab_size()
+        for x, i in self.model.get_vocab().items():
+            token[i] = bytes(byte[c] for c in x)
+        return np.frombuffer(b"".join(token), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in token])))
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of a sequence of ids of a byte-level vocabulary, and the range of each."""
+        flat, ranges = self.written
+        lengths = np.diff(ranges)[ids]
+        return flat[T.ragged(ranges[ids], lengths)].tobytes(), np.concatenate(([0], np.cumsum(lengths)))
+
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of each unit."""
         white = T.WHITE[data]
@@ -85,7 +105,7 @@ class UnitEncoder:
         """The rows of new units; those with hashes are found again by them."""
         ids = self._ids([x.decode("utf-8", "replace") for x in units])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         rows = len(self.starts) + np.arange(len(units))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))

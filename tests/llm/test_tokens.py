@@ -107,6 +107,36 @@ def test_escape(text):
     assert "<|" not in escaped and chat.unescape(escaped) == text
 
 
+def test_columns_are_escaped_as_texts_are():
+    import pyarrow as pa
+
+    texts = ["<|", "<\\|", "<\\\\|im_end|>", "a<b|c", "<<||", "", "é<|漢", "<\\x|<\\\\\\||"]
+    assert chat.escaped(pa.array(texts)).to_pylist() == [chat.escape(x) for x in texts]
+
+
+def test_byte_level_ids_are_read_as_the_library_reads_them():
+    import pyarrow as pa
+
+    from pantry.llm import text as T
+    from pantry.llm import vocab
+
+    texts = [prose(i, 20, 50) for i in range(20)] + ["", "\x00\x7f\xad\x80ÿ\u2028", "é漢😀 \t\r\n", "<|endoftext|>", "".join(map(chr, range(1, 1500)))]
+    encoder = vocab.encoder(BYTE)
+    ids, ranges = encoder.encode(*T.view(pa.array(texts)))
+    data, own = encoder.decode(ids)
+    assert [data[own[a] : own[b]].decode() for a, b in zip(ranges, ranges[1:])] == texts
+    assert [encoder.model.decode(ids[a:b].tolist(), skip_special_tokens=False) for a, b in zip(ranges, ranges[1:])] == texts
+    every = np.arange(encoder.model.get_vocab_size())
+    data, own = encoder.decode(every)
+    assert all(data[own[i] : own[i + 1]].decode("utf-8", "replace") == encoder.model.decode([i], skip_special_tokens=False) for i in every.tolist())
+
+
+def test_chat_frames_are_checked(spark):
+    rows = chat.formatted(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"), BYTE)
+    with pytest.raises(Exception, match="not framed"):
+        chat.read_back(rows.withColumn("ids", F.expr("substring(ids, 5)")), BYTE).collect()
+
+
 def test_chat_round_trip(spark):
     turns = [
         (1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "a\nb <\\|im_start|> c"), (1, 2, "assistant", None), (1, 2, "assistant", None),
