@@ -125,7 +125,11 @@ def labelled(labels: DataFrame, label: str, learn: Column | None, key: str = "do
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, key: str = "doc_id", text: str = "text", per_class: int = 1500) -> Model | None:
-    """learn: which rows of labels may be learned from. The fit runs in one task on at most 3 * per_class texts."""
+    """learn: which rows of labels may be learned from.
+
+    The fit runs in one task on at most 3 * per_class texts. That task gets columns and counts, at most 2**BITS of each a text,
+    which the tasks before it have taken from the texts, so its memory does not grow with a text's length.
+    """
     known = labelled(labels, label, learn, key)
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts.get(0) or not counts.get(1):
@@ -135,17 +139,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text")).join(F.broadcast(sample), "key")
     rows = rows.groupBy("key").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # a key that many rows have counts once
 
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch):
+                doc, column, count, n_words = features(*T.view(part.column("text")))
+                ranges = np.searchsorted(doc, np.arange(len(n_words) + 1))
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("y"), pa.array(n_words), T.blobs(column, ranges), T.blobs(count.astype(np.int32), ranges)], ["place", "y", "n_words", "columns", "counts"])
+
     def learn_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, y = [], []
         for batch in batches:
-            for part in T.slices(batch):
-                found.append(features(*T.view(part.column("text"))))
-                y.append(part.column("y").to_numpy())
+            columns, counts = ([np.frombuffer(x, np.int32) for x in batch.column(c).to_pylist()] for c in ("columns", "counts"))
+            if columns:
+                doc = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
+                found.append((doc, np.concatenate(columns), np.concatenate(counts), batch.column("n_words").to_numpy()))
+                y.append(batch.column("y").to_numpy())
         if found:
             model = fit(found, np.concatenate(y))
             yield pa.RecordBatch.from_pydict({"bias": [model.bias], "power": [model.power], "weights": [model.weights.tobytes()]})
 
-    made = rows.select("text", "y").coalesce(1).mapInArrow(learn_one, "bias double, power double, weights binary").collect()
+    sparse = rows.select(F.xxhash64("key").alias("place"), "text", "y").mapInArrow(reduced, "place long, y int, n_words long, columns binary, counts binary")
+    made = sparse.repartition(1).sortWithinPartitions("place").mapInArrow(learn_one, "bias double, power double, weights binary").collect()
     return Model(np.frombuffer(bytes(made[0]["weights"]), np.float32), made[0]["bias"], made[0]["power"]) if made else None
 
 

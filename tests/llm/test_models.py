@@ -91,6 +91,20 @@ def test_toxicity_learns_words_and_ignores_labels_at_scoring(spark):
     assert {r["score"] for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
+def test_toxicity_learns_the_same_however_rows_are_dealt(spark):
+    rows = labelled_texts(60) + [(500, "", 0), (501, None, 1), (502, "word " * 100_000, 0)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    models = [toxicity.train(spark.createDataFrame(rows[::step], "doc_id long, text string, y int").repartition(n), labels) for step, n in ((1, 1), (-1, 7))]
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].bias == models[1].bias
+    whole = sorted(rows, key=lambda x: x[0])
+    import pyarrow as pa
+
+    from pantry.llm import text as T
+
+    plain = toxicity.fit([toxicity.features(*T.view(pa.array([t for _, t, _ in whole])))], np.array([y for _, _, y in whole]))
+    assert np.allclose(models[0].weights, plain.weights, atol=1e-4) and abs(models[0].bias - plain.bias) < 1e-6
+
+
 def test_quality_held_out(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.op8_quality(spark, SF).collect()
