@@ -61,30 +61,41 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return T.span_hashes(data, first, end), ranges
 
 
+_STEPS = [T.mix(np.array([j + 1], np.uint64))[0] | np.uint64(1) for j in range(max(K, SHINGLE))]
+
+
+def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from each place on, as far as k follow; the words' hashes are mixed already."""
+    n = max(len(hashes) - k + 1, 0)
+    out = hashes[:n] * _STEPS[0]
+    for j in range(1, k):
+        out += hashes[j : j + n] * _STEPS[j]
+    return out
+
+
 def seeds(hashes: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first word) of the chosen k-mers."""
     counts = np.diff(ranges)
-    mers, begin, own = T.shingles(hashes, ranges, K)
-    real = np.repeat(counts >= K, np.diff(own))
-    mers, begin = mers[real], begin[real]
-    size = np.where(counts >= K, np.diff(own), 0)
+    size = np.maximum(counts - K + 1, 0)
     own = np.concatenate(([0], np.cumsum(size)))
-    doc = np.repeat(np.arange(len(counts)), size)
-    n = len(mers)
+    doc, begin = np.repeat(np.arange(len(counts)), size), T.ragged(ranges[:-1], size)
+    n = len(begin)
     if not n:
-        return mers, doc, begin
-    # The least of each window: positions compete by hash, the window stays within the text.
-    best = np.arange(n)
-    span = 1
-    while span < WINDOW:  # doubling: best[i] is the place of the least of i .. i + span - 1
+        return np.zeros(0, np.uint64), doc, begin
+    mers = T.mix(_grams(hashes, K)[begin])
+    # The least of each window, by its value and its place: each step makes windows of the first span + step k-mers.
+    least, best, span = mers, np.arange(n), 1
+    while span < WINDOW:
         step = min(span, WINDOW - span)
-        other = best[np.minimum(np.arange(n) + step, n - 1)]
-        inside = doc[np.minimum(np.arange(n) + step, n - 1)] == doc
-        best = np.where(inside & (mers[other] < mers[best]), other, best)
+        best = np.where(least[step:] < least[:-step], best[step:], best[:-step])
+        least = np.minimum(least[step:], least[:-step])
         span += step
-    whole = np.arange(n) + WINDOW <= own[doc + 1]
-    whole |= (np.arange(n) == own[doc]) & (size[doc] < WINDOW)
-    chosen = np.unique(best[whole])
+    whole = np.arange(len(best)) + WINDOW <= own[doc[: len(best)] + 1]
+    few = np.flatnonzero((size > 0) & (size < WINDOW))  # texts of less than a window: the least of all
+    place = own[few][:, None] + np.arange(WINDOW - 1)
+    inside = place < own[few + 1][:, None]
+    alone = np.where(inside, mers[np.where(inside, place, 0)], ~np.uint64(0)).argmin(1) + own[few]
+    chosen = np.unique(np.concatenate((best[whole], alone)))
     order = chosen[np.lexsort((chosen, mers[chosen], doc[chosen]))]
     linked = np.zeros(len(order), bool)
     linked[1:] = (mers[order][1:] == mers[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (np.diff(order) < WINDOW)
@@ -144,6 +155,11 @@ def _matches(postings: DataFrame) -> DataFrame:
 
 def chain(at: list[int], there: list[int], least: int = 2) -> list[list[int]]:
     """Chains (numbers of the matches, in order) of at least ``least`` matches, given the matches in order of ``at``, then ``there`` descending."""
+    x, y = np.diff(at), np.diff(there)
+    new = np.minimum(np.minimum(x, y), K)
+    if (new > 0).all() and (new > GAP * (x + y - 2 * new)).all():  # in order in both, no gap costs more than its match is worth: one chain, as the tree would find
+        cuts = (np.flatnonzero(np.maximum(x, y) > K + WIDE) + 1).tolist()
+        return [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, len(at)]) if b - a >= least]
     places = sorted(set(there))
     tree: list[int] = [-1] * (len(places) + 1)  # the best match with a place in the node's range
     score, worth, parent = [0.0] * len(at), [0.0] * len(at), [-1] * len(at)
@@ -188,8 +204,8 @@ def _chains(matches: DataFrame, least: int = 2) -> DataFrame:
         for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(partner)]):
             if b - a < least:
                 continue
-            pairs = np.unique(np.stack((at[a:b], -there[a:b]), 1), axis=0)
-            x, y = pairs[:, 0], -pairs[:, 1]
+            pairs = np.unique(at[a:b] << 32 | (1 << 32) - 1 - there[a:b])
+            x, y = pairs >> 32, (1 << 32) - 1 - (pairs & (1 << 32) - 1)
             for members in chain(x.tolist(), y.tolist(), least):
                 made.append((-len(members), int(partner[a]), x[members], y[members]))
         made.sort(key=lambda m: (m[1], m[0]))  # an earlier partner first
@@ -239,8 +255,10 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _similar(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two lists of shingles."""
-    x, y = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = np.sort(a), np.sort(b)
+    x, y = (v[np.append(True, v[1:] != v[:-1])] if len(v) else v for v in (x, y))
+    z = np.sort(np.concatenate((x, y)))
+    both = int((z[1:] == z[:-1]).sum())
     return both / max(len(x) + len(y) - both, 1)
 
 
@@ -292,10 +310,7 @@ def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[
             runs.append((p, q, n))
         i, j = p + n, q + n
     runs += [(i + p, j + q, n) for p, q, n in _grow(a[i:], b[j:])]
-    if len(a) < SHINGLE or len(b) < SHINGLE:
-        return []
-    of_a, of_b = (T.shingles(v.astype(np.uint64), np.array([0, len(v)]), SHINGLE)[0] for v in (a, b))
-    found, left = [], [runs]
+    found, left, shingles = [], [runs], None
     while left:
         part = left.pop()
         if not part:
@@ -304,7 +319,9 @@ def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> list[
         a1, b1 = x + n, y + n
         if min(a1 - a0, b1 - b0) < LEAST_WORDS:
             continue
-        value = 1.0 if len(part) == 1 else _similar(of_a[a0 : a1 - SHINGLE + 1], of_b[b0 : b1 - SHINGLE + 1])
+        if len(part) > 1 and shingles is None:
+            shingles = [_grams(T.mix(v.astype(np.uint64)), SHINGLE) for v in (a, b)]
+        value = 1.0 if len(part) == 1 else _similar(shingles[0][a0 : a1 - SHINGLE + 1], shingles[1][b0 : b1 - SHINGLE + 1])
         if value >= SHARE:
             found.append((a0, a1, b0, b1, value))
         elif len(part) > 1:

@@ -1,5 +1,6 @@
 """n-gram join, components, substring dedup, decontamination against brute force."""
 
+import itertools
 import random
 
 import numpy as np
@@ -314,3 +315,14 @@ def test_decontamination_blocks_find_all_within_the_radius_and_leave_most_out():
     close = np.bitwise_count(prints[:, None] ^ group.prints[None, :]) <= decontamination.RADIUS
     assert set(zip(*(x.tolist() for x in np.nonzero(close)))) <= got and close.sum() >= 300
     assert len([w for w, _ in got if w < 500]) < 0.2 * 500 * 300
+
+
+def test_matches_in_order_chain_alike_by_the_short_way_and_by_the_tree():
+    rng = random.Random(5)
+    for wide in (12, 60, 120):
+        for _ in range(200):
+            at = list(itertools.accumulate(rng.randint(1, wide) for _ in range(rng.randint(1, 30))))
+            there = [x + 1000 + 3 * i for i, x in enumerate(at)]
+            apart = substring.chain([*at, at[-1] + 1000], [*there, 1], least=1)  # a match out of order needs the tree, and stands alone
+            assert [len(at)] in apart
+            assert sorted(c for c in apart if c != [len(at)]) == sorted(substring.chain(at, there, least=1))
