@@ -197,7 +197,11 @@ def chain(at: list[int], there: list[int], least: int = 2) -> list[list[int]]:
 
 
 def _chains(matches: DataFrame, least: int = 2) -> DataFrame:
-    """(key, partner, anchors): a row a chain; anchors are its places in both, 32-bit, in turn. A document's matches (some for each of its seeds) are held together."""
+    """(key, partner, anchors, low, high, base, top): a row a chain; anchors are its places in both, 32-bit, in turn; an alignment
+    may use the words low to high of the document and base to top of the partner. A document's matches (some for each of its seeds) are held together."""
+
+    def reach(places: np.ndarray) -> tuple[int, int]:
+        return max(int(places[0]) - MARGIN, 0), int(places[-1]) + K + MARGIN
 
     def of(key: int, partner: np.ndarray, at: np.ndarray, there: np.ndarray, out: list) -> None:
         made, edge = [], np.flatnonzero(partner[1:] != partner[:-1]) + 1
@@ -213,11 +217,11 @@ def _chains(matches: DataFrame, least: int = 2) -> DataFrame:
         for n, other, x, y in made:
             if 5 * int(taken[x].sum()) < 4 * -n:
                 taken[x[0] : x[-1] + K] = True
-                out.append((key, other, np.stack((x, y), 1).astype(np.int32).tobytes()))
+                out.append((key, other, np.stack((x, y), 1).astype(np.int32).tobytes(), *reach(x), *reach(y)))
 
     def flush(out: list) -> pa.RecordBatch:
-        keys, partners, anchors = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(partners, pa.int64()), pa.array(anchors, pa.binary())], ["key", "partner", "anchors"])
+        kinds = {"key": pa.int64(), "partner": pa.int64(), "anchors": pa.binary(), "low": pa.int32(), "high": pa.int32(), "base": pa.int32(), "top": pa.int32()}
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds.values())], [*kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, partner, at, there in _groups(batches, ("key", "partner", "at", "there")):
@@ -228,7 +232,7 @@ def _chains(matches: DataFrame, least: int = 2) -> DataFrame:
             if out:
                 yield flush(out)
 
-    return matches.repartition("key").sortWithinPartitions("key", "partner").mapInArrow(run, "key long, partner long, anchors binary")
+    return matches.repartition("key").sortWithinPartitions("key", "partner").mapInArrow(run, "key long, partner long, anchors binary, low int, high int, base int, top int")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -346,37 +350,27 @@ def _words_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """(key, start, stop, partner, there, there_stop, similarity) of the passages of all chains."""
+    """(key, start, stop, partner, there, there_stop, similarity) of the passages of all chains. Only the words an alignment may use leave the joins:
+    a batch of chains would hold a long document's words as often as it has chains."""
     keys = chains.select(F.explode(F.array("key", "partner")).alias("key"))
     words = kept(_words_of(docs, keys), "words")
 
-    def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "partner", "anchors", "low", "piece"]
-        for batch in batches:
-            low, piece = [], []
-            for w, x in zip(batch.column("words"), batch.column("anchors")):
-                own, at = np.frombuffer(w.as_buffer(), np.uint32), np.frombuffer(x.as_buffer(), np.int32)[::2]
-                low.append(max(int(at[0]) - MARGIN, 0))
-                piece.append(own[low[-1] : int(at[-1]) + K + MARGIN].tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(low, pa.int64()), pa.array(piece, pa.binary())], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "start", "stop", "partner", "there", "there_stop", "similarity"]
         for batch in batches:
             out = []
-            for key, partner, x, low, piece, w in zip(*(batch.column(c) for c in ("key", "partner", "anchors", "low", "piece", "words"))):
+            for key, partner, x, low, base, own, other in zip(*(batch.column(c) for c in ("key", "partner", "anchors", "low", "base", "own", "other"))):
                 anchors = np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2).astype(np.int64)
-                a, b = np.frombuffer(piece.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.uint32)
-                low = low.as_py()
-                base = max(int(anchors[0, 1]) - MARGIN, 0)
-                b = b[base : int(anchors[-1, 1]) + K + MARGIN]
+                a, b = np.frombuffer(own.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
+                low, base = low.as_py(), base.as_py()
                 for a0, a1, b0, b1, value in align(a, b, [(int(p) - low, int(q) - base) for p, q in anchors]):
                     out.append((key.as_py(), a0 + low, a1 + low, partner.as_py(), b0 + base, b1 + base, value))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(names, zip(*out))], names)
 
-    mine = chains.join(words, "key").select("key", "partner", "anchors", "words").mapInArrow(slice_out, "key long, partner long, anchors binary, low long, piece binary")
-    both = mine.join(words.withColumnRenamed("key", "partner"), "partner").select("key", "partner", "anchors", "low", "piece", "words")
+    part = "substring(words, 4 * {0} + 1, 4 * ({1} - {0}))"  # ends with the words
+    mine = chains.join(words, "key").select("key", "partner", "anchors", "low", "base", "top", F.expr(part.format("low", "high")).alias("own"))
+    both = mine.join(words.withColumnRenamed("key", "partner"), "partner").select("key", "partner", "anchors", "low", "base", "own", F.expr(part.format("base", "top")).alias("other"))
     return both.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double")
 
 

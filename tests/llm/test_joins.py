@@ -244,6 +244,32 @@ def test_agreement_counts_words_over_one_edit():
     assert got[0] == len(row) and got[1] == len(row) - 1 and got[2] in (len(row) - 1, len(row) - 2) and got[3] == 0
 
 
+def test_substring_hands_python_only_the_words_around_a_chain(spark, tmp_path, monkeypatch):
+    parts = [prose(f"part{i}", 70, 50_000) for i in range(60)]
+    long = " ".join(prose(f"between{i}", 500, 50_000) + " " + p for i, p in enumerate(parts))  # 34,200 words: 137 kB of hashes
+    docs = plain(spark, [long if i in (0, 61) else f"{prose(f'before{i}', 40, 50_000)} {parts[i - 1]}" for i in range(62)]).where("doc_id > 0").union(plain(spark, [long]))
+    log, plainly = str(tmp_path / "log"), type(docs).mapInArrow
+
+    def logged(self, run, schema, *more):
+        def noted(batches):
+            def seen():
+                for batch in batches:
+                    if "anchors" in batch.schema.names:
+                        with open(log, "a") as f:
+                            f.write(f"{batch.num_rows} {batch.nbytes}\n")
+                    yield batch
+
+            yield from run(seen())
+
+        return plainly(self, noted, schema, *more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", logged)
+    got = {(r["key"], r["partner"], r["start"], r["stop"]) for r in substring.repeated(docs).collect()}
+    assert got == {(61, 0, 0, 34_200)} | {(i, 0, 40, 110) for i in range(1, 61)}
+    rows, size = (sum(x) for x in zip(*(map(int, line.split()) for line in open(log))))
+    assert rows >= 61 and size < 1_000_000  # 60 times the long text alone would be 8 MB
+
+
 def test_substring_odd_rows(spark):
     rows = substring.repeated(odd(spark)).collect()
     assert {(r["key"], r["partner"], r["start"], r["stop"]) for r in rows} == {(8, 7, 0, 80)}
