@@ -23,7 +23,7 @@
     A group is dealt out by salts, so that a task compares at most MOST open classes with it.
  6. Overlapping passages of a document become one.
 A passage counts against the later document (the greater key); the earlier one is its source. Only documents
-with chains are read again, as word hashes.
+with chains are read again, as word hashes. Tables go when no later step reads them.
 
 Nulls: a null or short text has no seeds; rows with a null key take no part. Rows with the same key are one
 document (its longest text, of equally long ones the greatest), and nothing is cut from their other texts. Other columns are ignored. Empty tables give no rows.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from pantry.llm import bitmap
 from pantry.llm import text as T
-from pantry.llm.shared import fresh, kept
+from pantry.llm.shared import fresh, gone, kept
 
 K, WINDOW, GAP = 8, 12, 0.1
 LEAST_WORDS, SHARE, SHINGLE = 50, 0.8, 5
@@ -350,7 +350,7 @@ def _words_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
-    """(key, start, stop, partner, there, there_stop, similarity) of the passages of all chains. Only the words an alignment may use leave the joins:
+    """(key, start, stop, partner, there, there_stop, similarity) of the passages of all chains, written. Only the words an alignment may use leave the joins:
     a batch of chains would hold a long document's words as often as it has chains."""
     keys = chains.select(F.explode(F.array("key", "partner")).alias("key"))
     words = kept(_words_of(docs, keys), "words")
@@ -369,9 +369,12 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(names, zip(*out))], names)
 
     part = "substring(words, 4 * {0} + 1, 4 * ({1} - {0}))"  # ends with the words
-    mine = chains.join(words, "key").select("key", "partner", "anchors", "low", "base", "top", F.expr(part.format("low", "high")).alias("own"))
-    both = mine.join(words.withColumnRenamed("key", "partner"), "partner").select("key", "partner", "anchors", "low", "base", "own", F.expr(part.format("base", "top")).alias("other"))
-    return both.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double")
+    owner, holder = (words.select(F.col("key").alias(c), "words") for c in ("later", "partner"))  # alike, so the words are shuffled once for both joins
+    mine = chains.withColumnRenamed("key", "later").join(owner, "later").select("later", "partner", "anchors", "low", "base", "top", F.expr(part.format("low", "high")).alias("own"))
+    both = mine.join(holder, "partner").select(F.col("later").alias("key"), "partner", "anchors", "low", "base", "own", F.expr(part.format("base", "top")).alias("other"))
+    passages = kept(both.mapInArrow(run, "key long, start long, stop long, partner long, there long, there_stop long, similarity double"), "passages")
+    gone(words)
+    return passages
 
 
 def _by_key(points: DataFrame, found: DataFrame, of: Callable, schema: str) -> DataFrame:
@@ -489,7 +492,7 @@ def _best(group: np.ndarray, key: np.ndarray, query: np.ndarray, context: np.nda
 
 
 def _held(docs: DataFrame, loose: DataFrame) -> DataFrame:
-    """(seed, key, at, context, open): all occurrences of at least the seeds of the loose ones; open marks those."""
+    """(seed, key, at, context, kind): all occurrences of at least the seeds of the loose ones; kind is the context's hash."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap.of(loose, "seed", hashed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,29 +500,41 @@ def _held(docs: DataFrame, loose: DataFrame) -> DataFrame:
             for part in T.slices(batch):
                 hashes, ranges = word_hashes(part.column("text"))
                 mers, doc, at = seeds(hashes, ranges)
-                use = bitmap.has(sent.value, (mers >> np.uint64(40)).astype(np.int64))
+                use = bitmap.has(sent.value, mers)
                 mers, doc, at = mers[use], doc[use], at[use]
                 for i in range(0, len(mers), 20_000):
                     m, d, p = (x[i : i + 20_000] for x in (mers, doc, at))
                     rows = contexts(hashes, ranges, d, p)
                     yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), part.column("key").take(pa.array(d)), pa.array(p.astype(np.int32)), T.blobs(rows.ravel(), np.arange(len(rows) + 1) * rows.shape[1])], ["seed", "key", "at", "context"])
 
-    held = docs.mapInArrow(run, "seed long, key long, at int, context binary")
-    return held.join(loose.select("seed", "key", "at").distinct().withColumn("open", F.lit(1)), ["seed", "key", "at"], "left").withColumn("open", F.coalesce("open", F.lit(0)))
+    return docs.mapInArrow(run, "seed long, key long, at int, context binary").withColumn("kind", F.xxhash64("context"))
+
+
+def _grouped(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """At least the rows whose group has a size, so that few others are shuffled."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap.of(sizes, "group", hashed=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.has(sent.value, batch.column("group").to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _wider(docs: DataFrame, loose: DataFrame) -> DataFrame:
-    """(key, partner, at, there): each loose occurrence with the earlier one whose surroundings agree best, where a passage may be."""
-    marked = kept(_held(docs, loose).withColumn("kind", F.xxhash64("context")), "held")
-    first = marked.groupBy("seed", "kind").agg(F.min(F.struct("key", "at", "context")).alias("first"), F.max("open").alias("open"))
-    classes = kept(first.select("seed", "kind", "first.*", "open"), "classes")
+    """(key, partner, at, there): each loose occurrence with the earlier one whose surroundings agree best, where a passage may be; written."""
+    held = _held(docs, loose)  # read twice, from the texts: contexts are the most of all tables, and so stand on disk only once a class
+    wanted = kept(held.select("seed", "kind", "key", "at").join(loose.select("seed", "key", "at").distinct(), ["seed", "key", "at"], "left_semi"), "wanted")
+    first = held.groupBy("seed", "kind").agg(F.min(F.struct("key", "at", "context")).alias("first"))
+    marks = wanted.select("seed", "kind").distinct().withColumn("open", F.lit(1))
+    classes = kept(first.join(marks, ["seed", "kind"], "left").select("seed", "kind", "first.*", F.coalesce("open", F.lit(0)).alias("open")), "classes")
     sides = []
     for side, begin, outer in ((0, CONTEXT - 8, CONTEXT - 8), (1, CONTEXT + K, CONTEXT + K + 7)):
         whole = classes.where(F.expr(f"substring(context, {outer + 1}, 1) <> x'00'"))
         sides.append(whole.withColumn("group", F.xxhash64("seed", F.lit(side), F.expr(f"substring(context, {begin + 1}, 8)"))))
     rows = sides[0].unionByName(sides[1])
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any = 1").select("group", F.ceil(F.col("n") / MOST).cast("int").alias("salts"))
-    dealt = rows.join(sizes, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    sizes = kept(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any = 1").select("group", F.ceil(F.col("n") / MOST).cast("int").alias("salts")), "sizes")
+    dealt = _grouped(rows, sizes).join(sizes, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = dealt.withColumn("query", F.when(F.col("salt") == F.pmod(F.xxhash64("kind"), "salts"), F.col("open")).otherwise(0)).withColumn("group", F.xxhash64("group", "salt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,10 +544,13 @@ def _wider(docs: DataFrame, loose: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seed[own], kind[own], key[other], at[other])], ["seed", "kind", "partner", "there"])
 
     best = dealt.repartition("group").sortWithinPartitions("group", "key", "at").select("group", "key", "at", "query", "seed", "kind", "context").mapInArrow(run, "seed long, kind long, partner long, there long")
-    best = best.groupBy("seed", "kind").agg(F.min(F.struct("partner", "there")).alias("best"))
-    both = marked.where("open = 1").select("seed", "kind", "key", "at").join(classes.select("seed", "kind", F.col("key").alias("first_key"), F.col("at").alias("first_at")), ["seed", "kind"]).join(best, ["seed", "kind"], "left")
+    best = kept(best.groupBy("seed", "kind").agg(F.min(F.struct("partner", "there")).alias("best")), "best")
+    gone(sizes)
+    both = wanted.join(classes.select("seed", "kind", F.col("key").alias("first_key"), F.col("at").alias("first_at")), ["seed", "kind"]).join(best, ["seed", "kind"], "left")
     own = F.when(F.col("first_key") < F.col("key"), F.struct(F.col("first_key").alias("partner"), F.col("first_at").cast("long").alias("there"))).otherwise(F.col("best"))
-    return both.select("key", "at", own.alias("own")).where("own is not null").select("key", "own.partner", "at", "own.there")
+    wider = kept(both.select("key", "at", own.alias("own")).where("own is not null").select("key", "own.partner", "at", "own.there"), "wider")
+    gone(classes, wanted, best)
+    return wider
 
 
 def _united(passages: DataFrame) -> DataFrame:
@@ -566,9 +584,11 @@ def _united(passages: DataFrame) -> DataFrame:
 
 def _chosen(rows: DataFrame) -> DataFrame:
     """(key, text) of the keys that stand in several rows: the text that counts."""
-    several = rows.groupBy("key").count().where("count > 1").select("key")
+    several = kept(rows.groupBy("key").count().where("count > 1").select("key"), "several")  # few as a rule: no text moves then
     best = rows.join(several, "key", "left_semi").groupBy("key").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("best"))
-    return kept(best.select("key", "best.text"), "chosen")
+    chosen = kept(best.select("key", "best.text"), "chosen")
+    gone(several)
+    return chosen
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -581,10 +601,17 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if not (chosen := _chosen(rows)).isEmpty():
         rows = rows.join(chosen.select("key"), "key", "left_anti").unionByName(chosen)
     matches = kept(_matches(_postings(rows)), "matches")
-    found = kept(_aligned(rows, kept(_chains(matches), "chains")), "passages")
+    chains = kept(_chains(matches), "chains")
+    found = _aligned(rows, chains)
     loose = kept(_uncovered(matches, found), "loose")
+    gone(chains, matches)
     if not loose.isEmpty():
-        found = found.unionByName(_aligned(rows, kept(_chains(kept(_wider(rows, loose), "wider"), least=1), "more_chains")))
+        wider = _wider(rows, loose)
+        chains = kept(_chains(wider, least=1), "more_chains")
+        gone(wider)
+        found = found.unionByName(_aligned(rows, chains))
+        gone(chains)
+    gone(loose, chosen)
     return _united(found)
 
 
